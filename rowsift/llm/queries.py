@@ -5,7 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 _NAMES = [
+    "decontaminate.op2_decontamination",
     "simhash.op5_simhash_dedup",
+    "suffix.op9_suffix_dedup",
 ]
 
 
