@@ -7,7 +7,9 @@ from importlib import import_module
 _NAMES = [
     "decontaminate.op2_decontamination",
     "simhash.op5_simhash_dedup",
+    "quality.op7_quality_rules",
     "suffix.op9_suffix_dedup",
+    "fpindex.op10_substring_dedup",
 ]
 
 
