@@ -7,7 +7,9 @@ from importlib import import_module
 _NAMES = [
     "decontaminate.op2_decontamination",
     "simhash.op5_simhash_dedup",
+    "mixing.op6_source_mixing",
     "quality.op7_quality_rules",
+    "sharding.op8_sharding",
     "suffix.op9_suffix_dedup",
     "fpindex.op10_substring_dedup",
 ]
