@@ -5,7 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 _NAMES = [
+    "html.op1_html_extraction",
     "decontaminate.op2_decontamination",
+    "wavelet.op3_token_shards",
+    "secrets.op4_secret_scan",
     "simhash.op5_simhash_dedup",
     "mixing.op6_source_mixing",
     "quality.op7_quality_rules",
