@@ -18,7 +18,7 @@ from .errors import QueryError, suggestion
 from .operators.frame import HIDDEN, Frame
 from .operators.lower import CAST_TYPES, bad_numbers, cast_problem, lower
 from .plans import nodes as N
-from .plans.normalize import normalize
+from .plans.normalize import needs_order, normalize
 from .sinks import render
 from .sources import readers
 
@@ -64,10 +64,14 @@ class Result:
     def __init__(self, plan: N.Plan, source: Frame, frame: Frame, strict: bool):
         self.plan, self.source, self.frame, self.strict = plan, source, frame, strict
 
+    @cached_property
+    def _in_order(self) -> Frame:
+        return self.frame if self.frame.order or self.source.position is None else lower(self.plan, self.source.ordered(), self.strict)
+
     @cached_property
     def ordered(self) -> DataFrame:
-        df = self.frame.df
-        return df.orderBy(*self.frame.order) if self.frame.order else df
+        f = self._in_order
+        return f.df.orderBy(*f.order) if f.order else f.df
 
     @property
     def df(self) -> DataFrame:
@@ -78,7 +82,7 @@ class Result:
 
     def records(self) -> Iterator[dict]:
         """Rows as dicts, in order; absent fields are left out."""
-        frame = self.frame
+        frame = self._in_order
         if frame.dynamic:
             for row in self.ordered.select(F.to_json("fields").alias("json")).toLocalIterator():
                 yield json.loads(row.json)
@@ -104,7 +108,7 @@ class Result:
         out = list(self.plan.warnings)
         for bad, message in self.source.warnings:
             out += _sampled(bad.select(F.col("value").alias("shown")), message)
-        frame = self.source.ordered() if self.source.order else self.source
+        frame = self.source.ordered() if self.source.order or needs_order(self.plan) else self.source
         for node in self.plan.nodes:
             if isinstance(node, N.Cast):
                 text = frame.value(node.path).text

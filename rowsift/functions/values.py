@@ -1,7 +1,7 @@
 """How a field's value is read: string form, number, JSON form, kind, time.
 
 A field of a typed frame is resolved when the plan is made, so that comparisons become native and reach the scan; a field
-of a dynamic frame is a variant and resolved row by row.  All predicates are two-valued.
+of a dynamic frame is a variant and resolved row by row.
 """
 
 from __future__ import annotations
@@ -160,8 +160,8 @@ class Dynamic(Value):
         double = F.try_variant_get(v, "$", "double")
         self.number = F.when(self.kind == "number", double)
         whole = F.try_variant_get(v, "$", "bigint")
-        num_text = F.when(schema == "BIGINT", whole.cast("string")).otherwise(F.when(whole.cast("double") == double, F.when(schema.startswith("DECIMAL"), whole.cast("string"))).otherwise(number_text(double)))
-        num_text = F.coalesce(num_text, number_text(double))
+        exact = F.when((schema == "BIGINT") | (schema.startswith("DECIMAL") & (whole.cast("double") == double)), whole.cast("string"))
+        num_text = F.coalesce(exact, number_text(double))
         self.text = F.when(v.isNull(), F.lit(None).cast("string")).when(self.null, "null").when(self.kind == "string", string).when(self.kind == "number", num_text).when(self.kind == "bool", F.try_variant_get(v, "$", "boolean").cast("string")).otherwise(F.to_json(v))
         self.scalar = ~self.kind.isin("array", "object", "missing")
         self.num = F.coalesce(self.number, text_number(self.string))
@@ -178,7 +178,11 @@ def _same(text: Column, literal: str, case_sensitive: bool) -> Column:
 
 
 def predicate(p, value_of, case_sensitive: bool) -> Column:
-    """Two-valued condition of a predicate; ``value_of`` gives the Value of a path."""
+    """Condition of a predicate; ``value_of`` gives the Value of a path.
+
+    Where nothing is compared it is null, which a filter and ``and`` and ``or`` take as false, so a bare comparison stays bare and
+    reaches the scan; only ``not`` has to tell null from true.
+    """
     if isinstance(p, And):
         return predicate(p.left, value_of, case_sensitive) & predicate(p.right, value_of, case_sensitive)
     if isinstance(p, Or):
@@ -189,7 +193,7 @@ def predicate(p, value_of, case_sensitive: bool) -> Column:
     if isinstance(p, Exists):
         return v.present
     test = _keyword if isinstance(p, KeywordTest) else _expression
-    return _two_valued(test(v, p, case_sensitive))
+    return test(v, p, case_sensitive)
 
 
 def _two_valued(c: Column) -> Column:

@@ -20,7 +20,7 @@ class Frame:
     """``dynamic``: the rows' fields are a map from name to variant in the column ``fields``.
 
     ``missing``: typed columns whose nulls stand for an absent field.  ``order``: the current order of the rows, as sort columns;
-    empty until it is asked for.
+    empty until it is asked for.  ``position``: where a row stands in its files, to be read right above the scan.
     """
 
     df: DataFrame
@@ -28,6 +28,7 @@ class Frame:
     missing: frozenset[str] = frozenset()
     order: tuple[Column, ...] = ()
     warnings: tuple = field(default=())
+    position: Column | None = None
 
     @property
     def names(self) -> list[str]:
@@ -40,8 +41,8 @@ class Frame:
         """The same frame with a column ``_ord`` for the order of the input."""
         if self.order:
             return self
-        df = self.df if "_ord" in self.df.columns else self.df.withColumn("_ord", F.monotonically_increasing_id())
-        return replace(self, df=df, order=(F.col("_ord").asc(),))
+        df = self.df if "_ord" in self.df.columns else self.df.withColumn("_ord", F.monotonically_increasing_id() if self.position is None else self.position)
+        return replace(self, df=df, order=(F.col("_ord").asc(),), position=None)
 
     def variant(self, path: str) -> Column:
         head, *rest = path.split(".")

@@ -32,9 +32,8 @@ def from_dataframe(df: DataFrame) -> Frame:
 
 
 def parquet(spark: SparkSession, *paths: str) -> Frame:
-    """Typed frame in file order: by path, then by row."""
-    df = spark.read.parquet(*paths)
-    return Frame(df.withColumn("_ord", F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))), order=(F.col("_ord").asc(),))
+    """Typed frame in file order: by path, then by row; row numbers are read only if the order matters."""
+    return Frame(spark.read.parquet(*paths), position=F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
 
 
 def records(fields: Column, raw: Column) -> list[Column]:
