@@ -158,11 +158,11 @@ def events(windows: DataFrame, earlier: bool, since: int | None = None) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        n = 0
+        n, enough = 0, ROWS_AT_ONCE
         for batch in batches:
             held.append([c.to_numpy() for c in batch.columns])
             n += batch.num_rows
-            if n < ROWS_AT_ONCE:
+            if n < enough:
                 continue
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
             differs = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
@@ -170,6 +170,7 @@ def events(windows: DataFrame, earlier: bool, since: int | None = None) -> DataF
             if end:
                 yield classes(*(c[:end] for c in cols))
             held, n = [[c[end:] for c in cols]], len(cols[0]) - end
+            enough = max(ROWS_AT_ONCE, 2 * n)  # a class larger than that is copied a few times, not once a batch
         if n:
             yield classes(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
