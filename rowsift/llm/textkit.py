@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xD6E8FEB86659FD93 | 1
