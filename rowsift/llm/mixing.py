@@ -1,8 +1,8 @@
 """Soft-membership mixing of sources to target weights.
 
 Domains are learned from the labels table: a labelled document is ``toxic``, else ``junk`` (quality 0), else of its language.
-A multinomial logistic regression on hashed word counts gives every document, labelled or not, a posterior over
-the domains.  A rate r >= 0 is then fitted for each document such that the expected domain totals, sum of r * tokens * posterior, meet the
+A multinomial logistic regression on hashed word counts, and on how many words of each domain's own a document has, gives every
+document, labelled or not, a posterior over the domains.  A rate r >= 0 is then fitted for each document such that the expected domain totals, sum of r * tokens * posterior, meet the
 targets: projected-gradient least squares, where each iteration is one distributed sum of the domain
 totals, and the step of a document follows from its posterior and the residuals alone.
 """
@@ -21,7 +21,9 @@ from .textkit import ALNUM, U, Tokens, slices, text_buffers
 
 #: The classifier is fitted on at most so many labelled documents, those with the smallest hashes of doc_id.
 TRAIN_DOCS = 3000
-BUCKETS = 1 << 15
+BUCKETS = 1 << 17
+#: A word is a domain's own if so many labelled documents of the domain have it, and at least this share of all that do.
+OWN_DOCS, OWN_SHARE = 8, 0.9
 DOMAINS = ("en", "de", "fr", "es", "junk", "toxic")
 TARGETS = {"en": 0.5, "de": 0.17, "fr": 0.17, "es": 0.13, "junk": 0.0, "toxic": 0.03}
 #: Domains of which nothing is cut as long as no domain is repeated more than MAX_REPEAT times on average.
@@ -31,20 +33,25 @@ SEED = "mixing"
 
 
 class Classifier:
-    """Softmax regression; a document is the square roots of its hashed word counts, scaled to length 1, plus shares of symbol, capital and echoed tokens."""
+    """Softmax regression.
+
+    A document is the square roots of its hashed word counts, scaled to length 1, the shares of symbols, capitals, bars and
+    echoed words, and for each domain how many different words of its own there are, up to three.
+    """
 
     def __init__(self, domains: tuple[str, ...] = DOMAINS, buckets: int = BUCKETS):
         self.domains, self.buckets = tuple(domains), buckets
-        self.weights = np.zeros((buckets, len(domains)), dtype=np.float32)
+        self.weights = np.zeros((buckets + 4 + len(domains), len(domains)), dtype=np.float32)
         self.bias = np.zeros(len(domains), dtype=np.float32)
+        self.own = np.zeros((buckets, len(domains)), dtype=bool)
 
-    def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, bucket, value) of the non-zero features, ordered by row, and the number of words of each row."""
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, bucket, value) of the words of each document, dense features, and the number of words of each row."""
         raw, raw_offs = text_buffers(texts)
         buf, offs = text_buffers(texts, lower=True)
         tok = Tokens(buf, offs, ALNUM)
         n, doc, h = len(offs) - 1, tok.doc(), tok.hashes()
-        col = (h % U(self.buckets - 8)).astype(np.int64)
+        col = (h % U(self.buckets)).astype(np.int64)
         key, times = np.unique(doc * self.buckets + col, return_counts=True)
         row, col, val = key // self.buckets, key % self.buckets, np.sqrt(times)
         norm = np.sqrt(np.bincount(row, weights=times, minlength=n))
@@ -57,12 +64,18 @@ class Classifier:
 
         size = np.maximum(np.diff(raw_offs), 1)
         dense = np.stack([share(_SYMBOL[raw], size, raw_offs) * 4, share(_UPPER[raw], size, raw_offs) * 2, share(raw == ord("|"), size, raw_offs) * 8, np.bincount(doc, weights=same, minlength=n) / words * 2], axis=1)
-        extra = np.arange(self.buckets - 8, self.buckets - 4)
-        row = np.concatenate([row, np.repeat(np.arange(n), 4)])
-        col = np.concatenate([col, np.tile(extra, n)])
+        return row, col, val, dense, tok.counts
+
+    def _features(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, feature, value) of all features, ordered by row."""
+        n, k = len(dense), len(self.domains)
+        count = np.stack([np.bincount(row, weights=self.own[col, j], minlength=n) for j in range(k)], axis=1)
+        dense = np.concatenate([dense, np.minimum(count, 3) * (2 / 3)], axis=1)
+        row = np.concatenate([row, np.repeat(np.arange(n), 4 + k)])
+        col = np.concatenate([col, np.tile(np.arange(self.buckets, self.buckets + 4 + k), n)])
         val = np.concatenate([val, dense.ravel()])
         order = np.argsort(row, kind="stable")
-        return row[order], col[order], val[order].astype(np.float32), tok.counts
+        return row[order], col[order], val[order].astype(np.float32)
 
     def _scores(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int) -> np.ndarray:
         part = self.weights[col] * val[:, None]
@@ -70,17 +83,25 @@ class Classifier:
         return np.add.reduceat(part, first, axis=0) + self.bias if n else np.zeros((0, len(self.domains)), dtype=np.float32)
 
     def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        row, col, val, words = self.features(texts)
-        s = self._scores(row, col, val, len(words)).astype(np.float64)
+        *parts, words = self._words(texts)
+        s = self._scores(*self._features(*parts), len(words)).astype(np.float64)
         s = np.exp(s - s.max(axis=1, keepdims=True)) if len(s) else s
         return s / s.sum(axis=1, keepdims=True), words
 
     def fit(self, texts: pa.Array, labels: np.ndarray, epochs: int = 60, rate: float = 0.5, decay: float = 1e-5) -> Classifier:
         """Full-batch Adam on the log-loss; labels are indices into the domains."""
-        row, col, val, words = self.features(texts)
-        n, k = len(words), len(self.domains)
+        n, k = len(texts), len(self.domains)
         if not n:
             return self
+        found, before = [], 0
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
+            row, col, val, dense, _ = self._words(part.column(0))
+            found.append((row + before, col, val, dense))
+            before += part.num_rows
+        row, col, val, dense = (np.concatenate(x) for x in zip(*found, strict=True))
+        have = np.stack([np.bincount(col[labels[row] == j], minlength=self.buckets) for j in range(k)], axis=1)
+        self.own = (have >= OWN_DOCS) & (have >= OWN_SHARE * have.sum(axis=1, keepdims=True))
+        row, col, val = self._features(row, col, val, dense)
         truth = np.eye(k, dtype=np.float32)[labels]
         used, col = np.unique(col, return_inverse=True)
         w, first = np.zeros((len(used), k), dtype=np.float32), np.searchsorted(row, np.arange(n))
