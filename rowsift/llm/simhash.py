@@ -38,6 +38,7 @@ MAX_BITS = 10
 MAX_CHECK = 64
 FRONTIER = 1 << 20
 SUBTRIE = 1 << 17
+_DOC_BITS = 20
 
 
 def _bit_sums(values: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
@@ -57,8 +58,12 @@ def _bit_sums(values: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of each document, in document order, and where each document begins."""
-    bits = max(1, int(n_docs - 1).bit_length())
+    """Distinct hashes of each document, in document order, and where each document begins.
+
+    Of a hash the upper 44 bits count, whatever else is in the slice, so equal texts get equal signatures everywhere.
+    """
+    bits = _DOC_BITS
+    assert n_docs <= 1 << bits
     key = np.sort((doc.astype(np.uint64) << U(64 - bits)) | (h >> U(bits)))
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
     first = np.searchsorted(key, np.arange(n_docs, dtype=np.uint64) << U(64 - bits))
@@ -103,7 +108,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=1 << _DOC_BITS):
                 s = signatures_of(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(signed(s[:, j].copy())) for j in range(4))], names=["doc_id", "simhash", "c1", "c2", "c3"])
 

@@ -74,14 +74,14 @@ def text_buffers(col: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of a batch with at most ``most`` bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Row ranges of a batch with at most ``most`` bytes of text and ``rows`` rows, one row at least."""
     if not batch.num_rows:
         return
     _, offs = text_buffers(batch.column(batch.schema.get_field_index(text)))
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
+        end = min(at + rows, max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1))
         yield batch.slice(at, end - at)
         at = end
 

@@ -4,6 +4,7 @@ import pytest
 
 from rowsift.llm import simhash
 from rowsift.llm.simhash import components, near_duplicates, near_pairs, one_per_group, schedule, signatures_of, trie_join
+from rowsift.llm.textkit import slices
 
 from .conftest import DOCS, frame, prose, rows_of
 
@@ -56,6 +57,18 @@ def test_pairs_and_groups_are_those_of_brute_force(spark, copies):
     assert len(expected) >= 50
 
 
+def test_a_signature_depends_on_its_text_alone(copies, monkeypatch):
+    texts = copies + ["", "one", "...", prose(5, 3000)]
+    together = signatures_of(pa.array(texts))
+    assert (together == np.concatenate([signatures_of(pa.array([t])) for t in texts])).all()
+    assert (together[::-1] == signatures_of(pa.array(texts[::-1]))).all()
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for most, rows in ((1, 1 << 20), (5000, 7), (10**9, 1), (10**9, 3)):
+        parts = list(slices(batch, most=most, rows=rows))
+        assert [t for p in parts for t in p.column(0).to_pylist()] == texts and max(p.num_rows for p in parts) <= rows
+        assert (together == np.concatenate([signatures_of(p.column(0)) for p in parts])).all()
+
+
 @pytest.mark.parametrize("max_bits", [0, 3, 10])
 def test_trie_join_with_all_rotations_loses_no_pair(max_bits):
     r = np.random.default_rng(max_bits)
