@@ -26,7 +26,7 @@ BUCKETS = 1 << 17
 OWN_DOCS, OWN_SHARE = 8, 0.9
 DOMAINS = ("en", "de", "fr", "es", "junk", "toxic")
 TARGETS = {"en": 0.5, "de": 0.17, "fr": 0.17, "es": 0.13, "junk": 0.0, "toxic": 0.03}
-#: Domains of which nothing is cut as long as no domain is repeated more than MAX_REPEAT times on average.
+#: Domains of which nothing is cut in total, however scarce another one is; no document is repeated more than MAX_REPEAT times.
 WHOLE, MAX_REPEAT = ("en", "de", "fr", "es"), 4.0
 ITERATIONS = 12
 SEED = "mixing"
@@ -163,8 +163,9 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...] = DOMAINS, targets: d
     """Steps of the projected gradient; rate_of applies them.
 
     The objective is sum over domains of (total - target)^2 / natural total.  A step of 1 is safe: by Cauchy-Schwarz the curvature in
-    the scaled rates is at most 1, as the posteriors of a document sum to 1.  The budget is the smallest under which no domain of ``WHOLE`` is cut, but
-    no larger than what MAX_REPEAT allows; domains that the corpus lacks get nothing.
+    the scaled rates is at most 1, as the posteriors of a document sum to 1.  The budget is the smallest under which no domain of ``WHOLE`` is cut.
+    A domain whose share of it is more than MAX_REPEAT times what there is gets MAX_REPEAT times that and falls short of its target; the others
+    keep theirs.  Domains that the corpus lacks get nothing.
     """
     natural, _ = _totals(members, [], len(domains))
     want = np.array([targets.get(d, 0.0) for d in domains])
@@ -174,11 +175,11 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...] = DOMAINS, targets: d
     want /= want.sum()
     ratio = natural / np.where(want > 0, want, np.inf)
     whole = [ratio[i] for i, d in enumerate(domains) if d in WHOLE and want[i] > 0] or [natural.sum()]
-    budget = min(max(whole), MAX_REPEAT * ratio[want > 0].min())
+    goal = np.minimum(want * max(whole), MAX_REPEAT * natural)
     steps: list[np.ndarray] = []
     for _ in range(iterations):
         total, _ = _totals(members, steps, len(domains)) if steps else (natural, 0)
-        step = np.where(natural > 0, (total - want * budget) / np.maximum(natural, 1e-9), 0)
+        step = np.where(natural > 0, (total - goal) / np.maximum(natural, 1e-9), 0)
         steps.append(step)
         if np.abs(step).max() < 1e-4:
             break
@@ -188,7 +189,7 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...] = DOMAINS, targets: d
 def rates_of(posterior: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     r = np.ones(len(posterior))
     for step in steps:
-        r = np.maximum(0, r - posterior @ step)
+        r = np.clip(r - posterior @ step, 0, MAX_REPEAT)
     return r
 
 

@@ -162,6 +162,16 @@ def test_rates_solve_the_least_squares(spark):
     assert np.allclose(x, rate, atol=1e-6)
 
 
+@pytest.mark.parametrize("scarce", ["toxic", "es"])
+def test_a_scarce_domain_does_not_cut_the_others(spark, scarce):
+    tokens = {"en": 5000, "de": 1700, "fr": 1700, "es": 1300, "junk": 500, "toxic": 300} | {scarce: 20}
+    one = np.eye(len(mixing.DOMAINS))
+    members = spark.createDataFrame([(i, tokens[d], one[i].tolist()) for i, d in enumerate(mixing.DOMAINS)], "doc_id long, tokens long, posterior array<double>")
+    rate = dict(zip(mixing.DOMAINS, mixing.rates_of(one, mixing.fit_rates(members)), strict=True))
+    assert all(rate[d] >= 1 - 1e-6 for d in mixing.WHOLE) and max(rate.values()) <= mixing.MAX_REPEAT + 1e-6
+    assert scarce == "toxic" or np.isclose(rate["es"], mixing.MAX_REPEAT)
+
+
 def test_held_out_domains(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
