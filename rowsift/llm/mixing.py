@@ -4,7 +4,9 @@ Domains are learned from the labels table: a labelled document is ``toxic``, els
 A multinomial logistic regression on hashed word counts, and on how many words of each domain's own a document has, gives every
 document, labelled or not, a posterior over the domains.  A rate r >= 0 is then fitted for each document such that the expected domain totals, sum of r * tokens * posterior, meet the
 targets: projected-gradient least squares, where each iteration is one distributed sum of the domain
-totals, and the step of a document follows from its posterior and the residuals alone.
+totals, and the step of a document follows from its posterior and the residuals alone.  A document whose likeliest
+domain has the target 0 is barred: its rate is 0.  What other documents have of such a domain is left to them, lest a rare
+one cut documents that only resemble it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ BUCKETS = 1 << 17
 #: A word is a domain's own if so many labelled documents of the domain have it, and at least this share of all that do.
 OWN_DOCS, OWN_SHARE = 8, 0.9
 DOMAINS = ("en", "de", "fr", "es", "junk", "toxic")
-TARGETS = {"en": 0.5, "de": 0.17, "fr": 0.17, "es": 0.13, "junk": 0.0, "toxic": 0.03}
+#: Shares of the domains, scaled to a sum of 1.
+TARGETS = {"en": 0.5, "de": 0.17, "fr": 0.17, "es": 0.13, "junk": 0.0, "toxic": 0.0}
 #: Domains of which nothing is cut in total, however scarce another one is; no document is repeated more than MAX_REPEAT times.
 WHOLE, MAX_REPEAT = ("en", "de", "fr", "es"), 4.0
 ITERATIONS = 12
@@ -162,13 +165,13 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
 def fit_rates(members: DataFrame, domains: tuple[str, ...] = DOMAINS, targets: dict[str, float] = TARGETS, iterations: int = ITERATIONS) -> list[np.ndarray]:
     """Steps of the projected gradient; rate_of applies them.
 
-    The objective is sum over domains of (total - target)^2 / natural total.  A step of 1 is safe: by Cauchy-Schwarz the curvature in
+    The objective is sum over the domains with a target of (total - target)^2 / natural total.  A step of 1 is safe: by Cauchy-Schwarz the curvature in
     the scaled rates is at most 1, as the posteriors of a document sum to 1.  The budget is the smallest under which no domain of ``WHOLE`` is cut.
     A domain whose share of it is more than MAX_REPEAT times what there is gets MAX_REPEAT times that and falls short of its target; the others
     keep theirs.  Domains that the corpus lacks get nothing.
     """
     natural, _ = _totals(members, [], len(domains))
-    want = np.array([targets.get(d, 0.0) for d in domains])
+    want, bar = np.array([targets.get(d, 0.0) for d in domains]), unwanted(domains, targets)
     want = np.where(natural > 0, want, 0)
     if not want.sum():
         return []
@@ -178,33 +181,41 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...] = DOMAINS, targets: d
     goal = np.minimum(want * max(whole), MAX_REPEAT * natural)
     steps: list[np.ndarray] = []
     for _ in range(iterations):
-        total, _ = _totals(members, steps, len(domains)) if steps else (natural, 0)
-        step = np.where(natural > 0, (total - goal) / np.maximum(natural, 1e-9), 0)
+        total, _ = _totals(members, steps, len(domains), bar)
+        step = np.where((natural > 0) & ~bar, (total - goal) / np.maximum(natural, 1e-9), 0)
         steps.append(step)
         if np.abs(step).max() < 1e-4:
             break
     return steps
 
 
-def rates_of(posterior: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+def unwanted(domains: tuple[str, ...], targets: dict[str, float]) -> np.ndarray:
+    """Flags of the domains whose target is 0."""
+    return np.array([targets.get(d, 0.0) <= 0 for d in domains])
+
+
+def rates_of(posterior: np.ndarray, steps: list[np.ndarray], bar: np.ndarray | None = None) -> np.ndarray:
+    """Rates of documents; 0 if one of the domains flagged in ``bar`` is likelier than all others."""
     r = np.ones(len(posterior))
     for step in steps:
         r = np.clip(r - posterior @ step, 0, MAX_REPEAT)
+    if bar is not None and bar.any() and not bar.all():
+        r[posterior[:, bar].max(axis=1) > posterior[:, ~bar].max(axis=1)] = 0
     return r
 
 
-def _rated(members: DataFrame, steps: list[np.ndarray]) -> DataFrame:
+def _rated(members: DataFrame, steps: list[np.ndarray], bar: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             flat = pa.compute.list_flatten(b.column(2)).to_numpy() if n else np.zeros(0)
             p = flat.reshape(n, -1) if n else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_of(p, steps) if n else np.zeros(0))], names=["doc_id", "tokens", "posterior", "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_of(p, steps, bar) if n else np.zeros(0))], names=["doc_id", "tokens", "posterior", "rate"])
 
     return members.mapInArrow(run, "doc_id long, tokens long, posterior array<double>, rate double")
 
 
-def _totals(members: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray, float]:
+def _totals(members: DataFrame, steps: list[np.ndarray], k: int, bar: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Expected tokens of each domain under the rates so far; each batch is summed where it lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +223,7 @@ def _totals(members: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.nda
         for b in batches:
             if b.num_rows:
                 p = pa.compute.list_flatten(b.column(2)).to_numpy().reshape(b.num_rows, k)
-                out += (rates_of(p, steps) * b.column(1).to_numpy()) @ p
+                out += (rates_of(p, steps, bar) * b.column(1).to_numpy()) @ p
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(out)], names=["d", "v"])
 
     rows = members.mapInArrow(run, "d int, v double").groupBy("d").agg(F.collect_list("v").alias("v")).collect()
@@ -231,7 +242,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] =
     nothing and the other targets are scaled up; no documents give no rows; other columns play no part.
     """
     members = settle(memberships(docs, train(docs, labels, domains)))
-    rated = _rated(members, fit_rates(members, domains, targets))
+    rated = _rated(members, fit_rates(members, domains, targets), unwanted(domains, targets))
     return rated.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
 
 
@@ -248,11 +259,11 @@ def remixed(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAI
     model = train(docs, labels, domains)
     members = settle(memberships(docs, model))
     steps = fit_rates(members, domains, targets)
-    shared = docs.sparkSession.sparkContext.broadcast((model, steps))
+    shared = docs.sparkSession.sparkContext.broadcast((model, steps, unwanted(domains, targets)))
 
     def rate(texts: pa.Array) -> pa.Array:
-        model, steps = shared.value
-        parts = [rates_of(np.round(model.posteriors(p.column(0))[0], 6), steps) for p in slices(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+        model, steps, bar = shared.value
+        parts = [rates_of(np.round(model.posteriors(p.column(0))[0], 6), steps, bar) for p in slices(pa.RecordBatch.from_arrays([texts], names=["text"]))]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     rated = docs.withColumn("__rate", F.arrow_udf(rate, "double").asNondeterministic()(F.col("text").cast("string")))

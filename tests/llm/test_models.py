@@ -172,6 +172,24 @@ def test_a_scarce_domain_does_not_cut_the_others(spark, scarce):
     assert scarce == "toxic" or np.isclose(rate["es"], mixing.MAX_REPEAT)
 
 
+def test_no_recognised_toxic_document_stays(spark):
+    p = np.array([[0.02, 0, 0, 0, 0, 0.98], [0.0, 0.0, 0.0, 0.45, 0.0, 0.55], [0.8, 0, 0, 0, 0, 0.2], [0.3, 0, 0, 0, 0.7, 0.0]] + [list(x) for x in np.eye(6)[:4]])
+    tokens = [100, 100, 100, 100, 5000, 1700, 1700, 400]
+    members = spark.createDataFrame([(i, t, q.tolist()) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, tokens long, posterior array<double>")
+    rate = mixing.rates_of(p, mixing.fit_rates(members), mixing.unwanted(mixing.DOMAINS, mixing.TARGETS))
+    assert rate[[0, 1, 3]].tolist() == [0, 0, 0] and (rate[[2, 4, 5, 6, 7]] > 0.9).all()
+
+
+def test_toxic_documents_of_the_tables_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = mixing.mixing_rates(docs, labels).toPandas()
+    said = np.array(mixing.DOMAINS)[np.stack(rows.posterior).argmax(axis=1)]
+    assert (said == "toxic").sum() > 0 and (rows.copies[np.isin(said, ["toxic", "junk"])] == 0).all() and (rows.rate[~np.isin(said, ["toxic", "junk"])] > 0.5).mean() > 0.99
+    gone = set(rows.doc_id[said == "toxic"])
+    assert not gone & {r.doc_id for r in mixing.remixed(docs, labels).select("doc_id").collect()}
+
+
 def test_held_out_domains(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
