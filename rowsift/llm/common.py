@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it is known to be at most this large; beyond it the join shuffles.
@@ -51,6 +51,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """doc_id, or where it is null a hash of the whole row, beyond 2^62 so that documents with small ids come first."""
+    cols = [F.col(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(*cols).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key as doc_id where there is a text, and the given doc_id in ``__id``; equal rows without an id share a key."""
+    return docs.withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.when(F.col("text").isNull(), F.col("doc_id").cast("long")).otherwise(row_key(docs)))
+
+
+def unkeyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("__id")).drop("__id")
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
     """Rows of docs whose doc_id isn't among ids; rows without an id stay."""
     gone = ids.select(F.col(col).alias("__gone"))

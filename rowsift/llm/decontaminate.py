@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, settle, small, table
+from .common import drop_ids, keyed, settle, small, table, unkeyed
 from .textkit import ALNUM, Tokens, gram_hashes, signed, slices, text_buffers, window_minima, window_starts
 
 K, W = 8, 6
@@ -111,9 +111,10 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """The documents that share no span of k+w-1 words with a benchmark item; rows without id stay."""
+    """The documents that share no span of k+w-1 words with a benchmark item; rows without an id are judged by their own text."""
+    docs = keyed(docs)
     bad = settle(shared_spans(docs, benchmark, k, w).select("doc_id").distinct())
-    return drop_ids(docs, small(bad, bad.count(), 16))
+    return unkeyed(drop_ids(docs, small(bad, bad.count(), 16)))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import row_key, settle, table
 from .textkit import ALNUM, U, Tokens, slices, text_buffers
 
 #: The classifier is fitted on at most so many labelled documents, those with the smallest hashes of doc_id.
@@ -254,7 +254,8 @@ def copies_of(rate, doc_id):
 def remixed(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The rows of docs, each as often as its rounded rate tells, in the columns they have.
 
-    Posteriors are computed again from each row's own text, so no text is shuffled.
+    Posteriors are computed again from each row's own text, so no text is shuffled.  Rows without doc_id are
+    rounded by a hash of the whole row.
     """
     model = train(docs, labels, domains)
     members = settle(memberships(docs, model))
@@ -267,7 +268,7 @@ def remixed(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAI
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     rated = docs.withColumn("__rate", F.arrow_udf(rate, "double").asNondeterministic()(F.col("text").cast("string")))
-    n = copies_of(F.col("__rate"), F.col("doc_id"))
+    n = copies_of(F.col("__rate"), row_key(docs))
     times = rated.withColumn("__n", n).where("__n > 0")
     return times.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__rate", "__n", "__i")
 

@@ -3,12 +3,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowsift.llm import queries
-from rowsift.llm.decontaminate import shared_spans
+from rowsift.llm.common import row_key
+from rowsift.llm.decontaminate import clean, shared_spans
+from rowsift.llm.mixing import copies_of
 from rowsift.llm.quality import verdicts
 from rowsift.llm.sharding import plan
-from rowsift.llm.simhash import near_duplicates
+from rowsift.llm.simhash import near_duplicates, one_per_group
 
-from .conftest import DOCS
+from .conftest import DOCS, frame, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,6 +58,19 @@ def test_rows_of_nulls_pass_through(spark, tmp_path):
     assert out.count() == 3 and out.where(F.col("shard") == 0).count() == 3
 
 
+def test_rows_without_an_id_are_judged_one_by_one(spark):
+    a, item = prose(1, 80), prose(2, 40)
+    docs = frame(spark, [(None, a), (None, a), (None, a, "other"), (7, a), (None, prose(3, 30) + " " + item), (None, prose(4, 80)), (None, prose(4, 80), "other"), (None, None), (None, None)])
+    kept = one_per_group(docs)
+    assert kept.columns == docs.columns and kept.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert [r.doc_id for r in kept.where(F.col("text") == a).collect()] == [7]
+    assert kept.where(F.col("text") == prose(4, 80)).count() == 1 and kept.where("text is null").count() == 2 and kept.count() == 5
+    left = clean(kept, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.count() == 4 and left.where(F.col("text").contains(item)).isEmpty()
+    n = {r.n for r in frame(spark, [(None, prose(i, 5)) for i in range(60)]).select(copies_of(F.lit(0.5), row_key(docs)).alias("n")).collect()}
+    assert n == {0, 1}
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_every_operator_has_its_query(n):
     assert sum(name.startswith(f"op{n}_") for name in queries.queries()) == 1
