@@ -46,7 +46,7 @@ def candidates(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Byte ranges of the candidates of all texts, in order, each once.
 
     A run counts from 12 characters if it has a digit, from 20 if it changes from small letters to capitals
-    inside; an assigned value counts from 6.
+    inside; an assigned value counts from 6, whole, also if runs lie inside it.
     """
     inside = _RUN[buf]
     prev, after = np.zeros_like(inside), np.zeros_like(inside)
@@ -78,14 +78,7 @@ def candidates(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 if m:
                     extra.append((p + m.start(1), p + m.end(1)))
     if extra:
-        e = np.array(extra)
-        inner = (np.searchsorted(start, e[:, 0]) < len(start)) if len(start) else np.zeros(len(e), dtype=bool)
-        at = np.minimum(np.searchsorted(start, e[:, 0]), max(0, len(start) - 1))
-        same = inner & (start[at] < e[:, 1]) if len(start) else inner
-        e = e[~same]
-        start, end = np.concatenate([start, e[:, 0]]), np.concatenate([end, e[:, 1]])
-        order = np.lexsort((end, start))
-        start, end = start[order], end[order]
+        start, end = np.unique(np.concatenate([np.stack([start, end], axis=1), np.array(extra)]), axis=0).T
     return start, end
 
 

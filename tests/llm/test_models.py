@@ -119,6 +119,12 @@ def test_every_long_run_and_every_assigned_value_is_a_candidate():
     assert {(int(a), int(z)) for a, z in zip(start, end, strict=True)} >= {(a, z) for a, z in brute if not any(a < o < z for o in offs)}
 
 
+def test_an_assigned_value_is_whole_though_a_run_lies_inside():
+    buf, offs = text_buffers(pa.array(['password = "N7!kq9x-4421-ab33-zz"', "token: 0123456789ab"]))
+    got = [bytes(buf[a:z]).decode() for a, z in zip(*secrets.candidates(buf, offs), strict=True)]
+    assert got == ["N7!kq9x-4421-ab33-zz", "kq9x-4421-ab33-zz", "0123456789ab"]
+
+
 def test_windows_cover_long_candidates():
     buf, offs = text_buffers(pa.array(["k " + "a1" * 150 + " end"]))
     _, classes, inside = secrets.encode(buf, offs, np.array([2]), np.array([302]))
