@@ -30,6 +30,7 @@ _POOR = re.compile(r"nav|menu|foot|head|side|promo|banner|cookie|share|social|co
 _RICH = re.compile(r"article|content|post|body|story|entry|text|main", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea svg iframe".split())
+_CLOSE = {name: re.compile(f"</{name}", re.I | re.A) for name in _RAW}
 _BLOCK = frozenset("html body div p article section main header footer nav aside ul ol li table tr td th h1 h2 h3 h4 h5 h6 pre blockquote form dl dt dd figure figcaption head title".split())
 #: An opening tag ends these if they are open and nothing of the second set lies between.
 _ENDS = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -49,7 +50,6 @@ class Page:
         self.parent, self.tag, self.depth, self.hint, self.label = [-1], ["#page"], [0], [""], [-1]
         self.pieces: list[tuple[int, str]] = []
         stack, at = [0], 0
-        low = None
         end = len(html)
         while True:
             m = _TAG.search(html, at)
@@ -96,10 +96,9 @@ class Page:
             self.hint.append(" ".join(hints))
             lab = _LABEL.search(attrs) if attrs else None
             self.label.append(int(lab.group(1)) if lab else -1)
-            if name in _RAW:
-                low = low if low is not None else html.lower()
-                close = low.find(f"</{name}", at)
-                at = end if close < 0 else (low.find(">", close) + 1 or end)
+            if name in _RAW and not (name == "svg" and attrs.endswith("/")):
+                close = _CLOSE[name].search(html, at)
+                at = end if not close else (html.find(">", close.end()) + 1 or end)
             elif not attrs.endswith("/"):
                 stack.append(node)
 

@@ -82,6 +82,13 @@ def test_edges_of_extraction(spark):
     assert html.extracted(pages.limit(0)).count() == 0
 
 
+def test_self_closed_svg_and_capitals_that_grow_lose_no_text():
+    said = lambda page: "".join(t for _, t in html.Page(page).pieces)
+    assert said('<p>before</p><svg width="1"/><p>after</p>') == "beforeafter"
+    assert said("<p>before</p><svg/><p>between</p><svg><text>drawn</text></SVG><p>after</p>") == "beforebetweenafter"
+    assert said("<p>" + "İ" * 40 + "</p><script>x = 1</Script><p>right behind it, and more</p>") == "İ" * 40 + "right behind it, and more"
+
+
 # ── Secrets ──
 
 
