@@ -32,8 +32,16 @@ _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _LOWER, _UPPER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _LOWER[97:123], _UPPER[65:91] = True, True
-_NAME = re.compile(rb"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?[\"']?\s*$")
-_VALUE = re.compile(rb"[:=]\s*[\"']?([^\s\"',;<>]{%d,})" % MIN_VALUE)
+_NAME = re.compile(rb"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?[\"']?$")
+#: No name, with its plural and a quote behind it, is longer than this.
+NAME_BYTES = 16
+_BLANK, _STOP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_BLANK[[*b" \t\n\r\f\v"]] = True
+_STOP[[*b" \t\n\r\f\v\"',;<>"]] = True
+_QUOTE = np.zeros(256, dtype=bool)
+_QUOTE[[*b"\"'"]] = True
+_LAST = np.zeros(256, dtype=bool)
+_LAST[[*b"dsetnylhDSETNYLH\"'"]] = True  # how names end
 
 #: Character classes: pad, 95 printable ASCII, other, blank other than the space.
 _CLASS = np.full(256, 96, dtype=np.int64)
@@ -63,25 +71,40 @@ def candidates(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     turns = np.flatnonzero(_LOWER[buf[:-1]] & _UPPER[buf[1:]]) + 1 if len(buf) else digits
     mixed = (end - start >= MIN_MIXED) & (np.searchsorted(turns, end) > np.searchsorted(turns, start, "right"))
     start, end = start[has | mixed], end[has | mixed]
-    signs = np.flatnonzero((buf == ord("=")) | (buf == ord(":")))
-    extra = []
-    if len(signs):
-        doc = np.searchsorted(offs, signs, "right") - 1
-        for p, a, z in zip(signs.tolist(), offs[doc].tolist(), offs[doc + 1].tolist(), strict=True):
-            if _NAME.search(buf[max(a, p - 24) : p].tobytes()):
-                stop = p + 1
-                while True:  # the value whole, however long
-                    stop = min(z, max(stop * 2 - p, p + 256))
-                    m = _VALUE.match(buf[p:stop].tobytes())
-                    if stop == z or not m or p + m.end(1) < stop:
-                        break
-                if m:
-                    extra.append((p + m.start(1), p + m.end(1)))
-    if extra:
-        start, end = np.unique(np.concatenate([np.stack([start, end], axis=1), np.array(extra)]), axis=0).T
+    extra = assigned(buf, offs)
+    if len(extra):
+        start, end = np.unique(np.concatenate([np.stack([start, end], axis=1), extra]), axis=0).T
     return start, end
 
 
+def assigned(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Byte ranges of the values assigned to a telling name: name, quote, blanks, a sign, blanks, quote, value.
+
+    Blanks may be any number, on either side of the sign, but all lies within one text.
+    """
+    none = np.zeros((0, 2), dtype=np.int64)
+    signs = np.flatnonzero((buf == ord("=")) | (buf == ord(":")))
+    if not len(signs):
+        return none
+    doc = np.searchsorted(offs, signs, "right") - 1
+    first, limit = offs[doc], offs[doc + 1]
+    solid = np.flatnonzero(~_BLANK[buf])
+    before = solid[np.maximum(np.searchsorted(solid, signs) - 1, 0)]  # last byte of the name
+    at = np.searchsorted(solid, signs, "right")
+    value = np.append(solid, len(buf))[at]
+    ok = (before < signs) & (before >= first) & _LAST[buf[before]] & (value < limit)
+    signs, first, limit, before, value = signs[ok], first[ok], limit[ok], before[ok], value[ok]
+    if not len(signs):
+        return none
+    value = value + _QUOTE[buf[value]]
+    stops = np.append(np.flatnonzero(_STOP[buf]), len(buf))
+    stop = np.minimum(stops[np.searchsorted(stops, value)], limit)
+    ok = np.flatnonzero(stop - value >= MIN_VALUE)
+    told = [bool(_NAME.search(buf[max(a, b + 1 - NAME_BYTES) : b + 1].tobytes())) for a, b in zip(first[ok].tolist(), before[ok].tolist(), strict=True)]
+    ok = ok[np.array(told, dtype=bool)]
+    return np.stack([value[ok], stop[ok]], axis=1)
+
+
 def encode(buf: np.ndarray, offs: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(which, classes, inside): windows of the candidates; a candidate beyond 64 characters has several that overlap."""
     more = np.maximum(0, -(-(end - start - SPAN) // STRIDE))
@@ -178,7 +201,7 @@ class Network:
         a, b = c
         self.slope, self.shift = float(a), float(b)
         score = np.sort(self.score(z)[truth > 0])
-        self.threshold = min(0.5, float(score[int(np.floor((1 - recall) * len(score)))])) if len(score) else 0.5
+        self.threshold = float(score[int(np.floor((1 - recall) * len(score)))]) if len(score) else 0.5
 
     def score(self, z: np.ndarray) -> np.ndarray:
         return _sigmoid(self.slope * z.astype(np.float64) + self.shift)
@@ -287,9 +310,10 @@ def scan(docs: DataFrame, model: Network | None = None) -> DataFrame:
     """(doc_id, start, n_bytes, shown, score, is_secret), one row a candidate, whether or not it is a secret.
 
     ``start`` and ``n_bytes`` are UTF-8 bytes of the text; ``shown`` is the first four characters; ``score`` is the calibrated
-    probability.  Defined cases: null and empty texts have no candidates; rows without doc_id are reported with a null doc_id; a long
-    candidate is seen whole, by overlapping windows; repeated rows are reported each time; an
-    empty table gives no rows; other columns play no part.
+    probability.  Defined cases: null and empty texts have no candidates; rows without doc_id are reported with a null doc_id; a very long
+    text is scanned whole, and a long candidate is seen whole, by overlapping windows; of candidates with the same bytes one is
+    reported, and a run inside an assigned value beside the value; a score right at the threshold is a secret; repeated rows are
+    reported each time; an empty table gives no rows; other columns play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
 
