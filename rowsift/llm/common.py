@@ -57,13 +57,31 @@ def row_key(docs: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(*cols).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with row_key as doc_id where there is a text, and the given doc_id in ``__id``; equal rows without an id share a key."""
-    return docs.withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.when(F.col("text").isNull(), F.col("doc_id").cast("long")).otherwise(row_key(docs)))
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that the frame doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def unkeyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_id", F.col("__id")).drop("__id")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with row_key as doc_id where there is a text, and the column that holds the given doc_id; equal rows without an id share a key."""
+    (held,) = fresh(docs, "__id")
+    return docs.withColumn(held, F.col("doc_id")).withColumn("doc_id", F.when(F.col("text").isNull(), F.col("doc_id").cast("long")).otherwise(row_key(docs))), held
+
+
+def unkeyed(docs: DataFrame, held: str) -> DataFrame:
+    return docs.withColumn("doc_id", F.col(held)).drop(held)
+
+
+def text_bytes(df: DataFrame, *cols: str) -> tuple[int, int]:
+    """(rows, bytes of the text columns) of a frame, for the size check of a broadcast."""
+    size = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in cols), F.lit(0).cast("long"))
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first())
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:

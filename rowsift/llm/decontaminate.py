@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, keyed, settle, small, table, unkeyed
+from .common import drop_ids, fresh, settle, small, table
 from .textkit import ALNUM, Tokens, gram_hashes, signed, slices, text_buffers, window_minima, window_starts
 
 K, W = 8, 6
@@ -59,7 +59,7 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W)
 
     Words are runs of ASCII letters, digits and non-ASCII characters in lower case; starts count
     words from 0.  Every such run is found, however often it occurs.  Defined cases: a null or
-    empty text shares nothing; rows without doc_id or item_id are passed over; repeated rows
+    empty text shares nothing; very long texts are compared whole; rows without doc_id or item_id are passed over; repeated rows
     give their runs once; rows that share an id contribute the runs of each text; an
     empty table on either side gives no rows; other columns play no part.
     """
@@ -111,10 +111,16 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """The documents that share no span of k+w-1 words with a benchmark item; rows without an id are judged by their own text."""
-    docs = keyed(docs)
-    bad = settle(shared_spans(docs, benchmark, k, w).select("doc_id").distinct())
-    return unkeyed(drop_ids(docs, small(bad, bad.count(), 16)))
+    """The documents that share no span of k+w-1 words with a benchmark item, in the columns they have.
+
+    Every row is judged by its own text, under a hash of text and doc_id, so rows without an id and rows that share one with other texts are
+    told apart.  Defined cases: null and empty texts stay; repeated rows stay or go together; a span of exactly k+w-1 words is enough;
+    texts are read whole, however long; an empty benchmark leaves all, no documents give none.
+    """
+    (held,) = fresh(docs, "__id")
+    told = docs.withColumn(held, F.col("doc_id")).withColumn("doc_id", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    bad = settle(shared_spans(told, benchmark, k, w).select("doc_id").distinct())
+    return drop_ids(told, small(bad, bad.count(), 16)).withColumn("doc_id", F.col(held)).drop(held)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

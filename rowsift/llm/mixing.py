@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, settle, table
+from .common import fresh, row_key, settle, table
 from .textkit import ALNUM, U, Tokens, slices, text_buffers
 
 #: The classifier is fitted on at most so many labelled documents, those with the smallest hashes of doc_id.
@@ -131,13 +131,19 @@ _UPPER[65:91] = True
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """(text, domain) of at most ``most`` labelled documents whose domain is known; the choice depends on the doc_ids alone."""
-    lab = labels.select(F.col("doc_id").alias("__lab"), F.col("quality").alias("__q"), F.col("toxic").alias("__t")).where("__lab is not null").dropDuplicates(["__lab"])
+    """(doc_id, text, domain) of at most ``most`` labelled documents, one row each; the choice depends on the doc_ids alone.
+
+    Of several labels of a document the worst counts: toxic if one says so, of quality 0 if one says so.  Of several texts of a
+    doc_id the smallest counts.
+    """
+    lab = labels.select(F.col("doc_id").alias("__lab"), F.col("quality").alias("__q"), F.col("toxic").alias("__t")).where("__lab is not null")
+    lab = lab.groupBy("__lab").agg(F.min("__q").alias("__q"), F.max("__t").alias("__t"))
     chosen = lab.orderBy(F.xxhash64(F.lit(SEED), "__lab"), "__lab").limit(most)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    joined = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__lab"))
+    joined = rows.where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__lab"))
+    one = joined.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "__q", "__t")).alias("r")).select("doc_id", "r.*")
     domain = F.when(F.col("__t") == 1, "toxic").when(F.col("__q") == 0, "junk").otherwise(F.col("lang"))
-    return joined.where("text is not null").select("doc_id", "text", domain.alias("domain"))
+    return one.select("doc_id", "text", domain.alias("domain"))
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS, most: int = TRAIN_DOCS) -> Classifier:
@@ -237,9 +243,10 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] =
     """(doc_id, tokens, posterior, rate, copies) of every row of docs.
 
     ``rate`` is the expected number of copies and ``copies`` its random rounding, decided by a hash of doc_id.  Defined
-    cases: null and empty texts have no tokens and still get a rate; rows without doc_id are rounded like one another; repeated rows and rows
-    that share a doc_id get their rates one by one; without labelled rows every posterior is uniform; a domain without tokens gets
-    nothing and the other targets are scaled up; no documents give no rows; other columns play no part.
+    cases: null and empty texts have no tokens and still get a rate; very long texts are read whole; rows without doc_id are rounded like one
+    another; repeated rows and rows that share a doc_id get their rates one by one; of labels that contradict one another the worst
+    counts (see labelled); a document as likely of a barred domain as of another stays; without labelled rows every posterior is uniform; a
+    domain without tokens gets nothing and the other targets are scaled up; no documents give no rows; other columns play no part.
     """
     members = settle(memberships(docs, train(docs, labels, domains)))
     rated = _rated(members, fit_rates(members, domains, targets), unwanted(domains, targets))
@@ -254,8 +261,9 @@ def copies_of(rate, doc_id):
 def remixed(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The rows of docs, each as often as its rounded rate tells, in the columns they have.
 
-    Posteriors are computed again from each row's own text, so no text is shuffled.  Rows without doc_id are
-    rounded by a hash of the whole row.
+    Posteriors are computed again from each row's own text, so no text is shuffled.  Defined cases: rows without doc_id are
+    rounded by a hash of the whole row, repeated rows alike; null, empty and very long texts are rated like others; no
+    documents give no rows; the columns keep their names and values, whatever they are called.
     """
     model = train(docs, labels, domains)
     members = settle(memberships(docs, model))
@@ -267,10 +275,10 @@ def remixed(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAI
         parts = [rates_of(np.round(model.posteriors(p.column(0))[0], 6), steps, bar) for p in slices(pa.RecordBatch.from_arrays([texts], names=["text"]))]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    rated = docs.withColumn("__rate", F.arrow_udf(rate, "double").asNondeterministic()(F.col("text").cast("string")))
-    n = copies_of(F.col("__rate"), row_key(docs))
-    times = rated.withColumn("__n", n).where("__n > 0")
-    return times.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__rate", "__n", "__i")
+    rate_col, n_col, i_col = fresh(docs, "__rate", "__n", "__i")
+    rated = docs.withColumn(rate_col, F.arrow_udf(rate, "double").asNondeterministic()(F.col("text").cast("string")))
+    times = rated.withColumn(n_col, copies_of(F.col(rate_col), row_key(docs))).where(F.col(n_col) > 0)
+    return times.withColumn(i_col, F.explode(F.sequence(F.lit(1), F.col(n_col)))).drop(rate_col, n_col, i_col)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality rules with host-level verdicts.
 
 Each document is measured once and held against five rules, each with two thresholds: above the upper one the document
-fails, above the lower one it is in doubt.  The doubtful documents are aggregated by host (``source``); each host's rate is
+fails, above the lower one it is in doubt.  The failures are aggregated by host (``source``); each host's rate is
 shrunk by a beta prior whose two parameters are fitted to all hosts' rates by moments; and the host's verdict is
 joined back.  A document goes if it fails a rule, and at a bad host if it is in doubt.  A document
 that no rule doubts stays wherever it comes from.
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, small, table
+from .common import fresh, settle, small, table, text_bytes
 from .textkit import SOLID, Tokens, slices, text_buffers
 
 #: (doubt, failure) above these shares: symbols of characters, capitals of ASCII letters, lone bars of tokens, tokens
@@ -89,9 +89,9 @@ def measure(text: Column) -> Column:
     return F.arrow_udf(_measure, STRUCT).asNondeterministic()(text.cast("string"))  # so that it runs once a row
 
 
-def rules(level: int) -> dict[str, Column]:
-    """Doubt (0) or failure (1) by each rule, from the measures in column __m."""
-    c = lambda name: F.col("__m")[name]
+def rules(level: int, measures: str = "__m") -> dict[str, Column]:
+    """Doubt (0) or failure (1) by each rule, from the measures in a column."""
+    c = lambda name: F.col(measures)[name]
     enough = c("tokens") >= MIN_TOKENS
     at = {r: F.lit(t[level]) for r, t in SHARES.items()}
     return {
@@ -103,36 +103,44 @@ def rules(level: int) -> dict[str, Column]:
     }
 
 
+def _any(flags: dict[str, Column]) -> Column:
+    return reduce(Column.__or__, (F.coalesce(c, F.lit(False)) for c in flags.values()))
+
+
 def host_rates(judged: DataFrame) -> DataFrame:
-    """(host, host_docs, host_rate): rates of doubtful documents shrunk to the mean of all hosts.
+    """(host, host_docs, host_rate) from (host, failed): rates of documents that fail a rule, shrunk to the mean of all.
 
-    Moments over hosts: m and v are the mean and the variance of the raw rates; the prior weighs
-    m(1-m)/v - 1 documents, at least 1, and 1e6 where the rates don't vary.
+    The beta prior is fitted by moments, hosts weighed by their documents and the binomial noise taken off: with N documents at H hosts,
+    x failures among a host's n, B = (sum x^2/n - X^2/N)/(H-1) between and W = (X - sum x^2/n)/(N-H) within hosts, n0 = (N - sum n^2/N)/(H-1),
+    the share of variance between hosts is r = (B - W)/(B + (n0-1)W) and the prior weighs 1/r - 1 documents: at least 1, and 1e6
+    where hosts differ no more than chance would have it.
     """
-    hosts = judged.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("doubtful").cast("int")).alias("bad"))
-    rate = F.col("bad") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
-    weight = F.when(F.col("v") * 1e6 > F.col("m") * (1 - F.col("m")), F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0))).otherwise(F.lit(1e6))
-    prior = prior.select("m", weight.alias("weight"))
+    hosts = judged.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("failed").cast("int")).alias("bad"))
+    n, x = F.col("host_docs").cast("double"), F.col("bad").cast("double")
+    sums = hosts.agg(F.sum(n).alias("N"), F.sum(x).alias("X"), F.sum(x * x / n).alias("A"), F.sum(n * n).alias("Q"), F.count("*").cast("double").alias("H"))
+    between, within = F.expr("(A - X * X / N) / nullif(H - 1, 0)"), F.expr("(X - A) / nullif(N - H, 0)")
+    share = F.when((F.col("H") > 1) & (F.col("N") > F.col("H")), F.try_divide(between - within, between + (F.expr("(N - Q / N) / nullif(H - 1, 0)") - 1) * within))
+    weight = F.when(share > 1e-6, F.greatest(1 / F.when(share > 1e-6, share) - 1, F.lit(1.0))).otherwise(F.lit(1e6))
+    prior = sums.select((F.col("X") / F.col("N")).alias("m"), weight.alias("weight"))
     return hosts.crossJoin(F.broadcast(prior)).select("host", "host_docs", ((F.col("bad") + F.col("m") * F.col("weight")) / (F.col("host_docs") + F.col("weight"))).alias("host_rate"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, source, the failed rules, the host's shrunken rate and whether the document stays.
 
-    Defined cases: a null text measures zero and, like an empty one, fails no rule; rows without doc_id are judged like
-    others; documents without a source form one host; repeated rows are judged, and counted for their
+    Defined cases: a null text measures zero and, like an empty one, fails no rule; very long texts are measured whole; rows without doc_id are judged
+    like others; documents without a source form one host; repeated rows are judged, and counted for their
     host, one by one; the thresholds are strict, so a share right at one passes; no documents give no rows; other columns play no part.
     """
     failed, doubted = rules(1), rules(0)
     flags = [F.coalesce(failed[r], F.lit(False)).alias(f"failed_{r}") for r in RULES]
-    doubt = reduce(Column.__or__, (F.coalesce(doubted[r], F.lit(False)) for r in RULES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), measure(F.col("text")).alias("__m"))
-    judged = settle(rows.select("doc_id", "host", *flags, doubt.alias("doubtful")))
-    rates = host_rates(judged).select(F.col("host").alias("of_host"), "host_docs", "host_rate")
-    joined = judged.join(rates, F.col("host").eqNullSafe(F.col("of_host")))
-    fails, bad = reduce(Column.__or__, (F.col(f"failed_{r}") for r in RULES)), F.col("host_rate") > HOST_RATE
-    keep = ~fails & ~(F.col("doubtful") & bad)
+    judged = settle(rows.select("doc_id", "host", *flags, _any(failed).alias("failed"), _any(doubted).alias("doubtful")))
+    rates = settle(host_rates(judged).select(F.col("host").alias("of_host"), "host_docs", "host_rate"))
+    n, size = text_bytes(rates, "of_host")
+    joined = judged.join(small(rates, 1, size + 40 * n), F.col("host").eqNullSafe(F.col("of_host")))
+    bad = F.col("host_rate") > HOST_RATE
+    keep = ~F.col("failed") & ~(F.col("doubtful") & bad)
     return joined.select("doc_id", F.col("host").alias("source"), *(f"failed_{r}" for r in RULES), "doubtful", "host_docs", F.round("host_rate", 6).alias("host_rate"), bad.alias("host_bad"), keep.alias("keep"))
 
 
@@ -140,15 +148,15 @@ def acceptable(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules and the host verdicts keep, in the columns they have.
 
     The measures are taken once to judge the hosts and once more, with the few bad hosts at hand, to filter row by row; so no text is shuffled and
-    rows need no id.
+    rows need no id.  Defined cases are those of verdicts; columns keep their names and values, whatever they are called.
     """
-    doubt = reduce(Column.__or__, (F.coalesce(c, F.lit(False)) for c in rules(0).values()))
-    failed = reduce(Column.__or__, (F.coalesce(c, F.lit(False)) for c in rules(1).values()))
-    judged = docs.select(F.col("source").cast("string").alias("host"), measure(F.col("text")).alias("__m")).select("host", doubt.alias("doubtful"))
-    bad = settle(host_rates(judged).where(F.col("host_rate") > HOST_RATE).select(F.col("host").alias("__bad_host")))
-    marked = docs.withColumn("__m", measure(F.col("text"))).where(~failed).withColumn("__doubt", doubt)
+    measured = docs.select(F.col("source").cast("string").alias("host"), measure(F.col("text")).alias("__m"))
+    bad = settle(host_rates(measured.select("host", _any(rules(1)).alias("failed"))).where(F.col("host_rate") > HOST_RATE).select(F.col("host").alias("__bad_host")))
+    n, size = text_bytes(bad, "__bad_host")
+    m, doubt = fresh(docs, "__m", "__doubt")
+    marked = docs.withColumn(m, measure(F.col("text"))).where(~_any(rules(1, m))).withColumn(doubt, _any(rules(0, m)))
     host = marked["source"].cast("string").eqNullSafe(bad["__bad_host"])
-    return marked.join(small(bad, bad.count(), 64), host & marked["__doubt"], "left_anti").drop("__m", "__doubt")
+    return marked.join(small(bad, 1, size + 24 * n), host & marked[doubt], "left_anti").drop(m, doubt)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,11 +177,13 @@ f AS (SELECT doc_id, source, symbols > chars * 0.12 AS failed_symbols, letters >
         tokens >= 10 AND bars > tokens * 0.25 AS failed_bars, tokens >= 10 AND repeated > tokens * 0.5 AS failed_repeats, tokens >= 10 AND echoed > tokens * 0.3 AS failed_echoes,
         symbols > chars * 0.06 OR (letters >= 20 AND upper > letters * 0.3) OR (tokens >= 10 AND (bars > tokens * 0.12 OR repeated > tokens * 0.45 OR echoed > tokens * 0.2)) AS doubtful
       FROM m),
-h AS (SELECT source, count(*) AS host_docs, count(*) FILTER (WHERE doubtful) AS bad FROM f GROUP BY source),
-p AS (SELECT avg(bad / host_docs) AS m, coalesce(var_pop(bad / host_docs), 0) AS v FROM h),
-q AS (SELECT m, CASE WHEN v * 1e6 > m * (1 - m) THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 1e6 END AS weight FROM p),
+h AS (SELECT source, count(*)::DOUBLE AS host_docs, (count(*) FILTER (WHERE failed_symbols OR failed_capitals OR failed_bars OR failed_repeats OR failed_echoes))::DOUBLE AS bad FROM f GROUP BY source),
+p AS (SELECT sum(host_docs) AS n, sum(bad) AS x, sum(bad * bad / host_docs) AS a, sum(host_docs * host_docs) AS q, count(*)::DOUBLE AS h FROM h),
+v AS (SELECT x / n AS m, CASE WHEN h > 1 AND n > h THEN (a - x * x / n) / (h - 1) END AS b, CASE WHEN h > 1 AND n > h THEN (x - a) / (n - h) END AS w, (n - q / n) / nullif(h - 1, 0) AS n0 FROM p),
+s AS (SELECT m, (b - w) / nullif(b + (n0 - 1) * w, 0) AS share FROM v),
+q AS (SELECT m, CASE WHEN share > 1e-6 THEN greatest(1 / share - 1, 1.0) ELSE 1e6 END AS weight FROM s),
 r AS (SELECT source, host_docs, (bad + m * weight) / (host_docs + weight) AS rate FROM h, q)
-SELECT doc_id, source, failed_symbols, failed_capitals, failed_bars, failed_repeats, failed_echoes, doubtful, host_docs, round(rate, 6) AS host_rate, rate > 0.4 AS host_bad,
+SELECT doc_id, source, failed_symbols, failed_capitals, failed_bars, failed_repeats, failed_echoes, doubtful, CAST(host_docs AS BIGINT) AS host_docs, round(rate, 6) AS host_rate, rate > 0.4 AS host_bad,
        NOT (failed_symbols OR failed_capitals OR failed_bars OR failed_repeats OR failed_echoes) AND NOT (doubtful AND rate > 0.4) AS keep
 FROM f JOIN r USING (source)
 """

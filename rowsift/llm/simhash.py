@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, keep_ids, keyed, settle, table, unkeyed
+from .common import drop_ids, fresh, keep_ids, keyed, settle, table, unkeyed
 from .textkit import ALNUM, Tokens, U, gram_hashes, mix, signed, slices, text_buffers
 
 LEVELS, STEP = 16, 4
@@ -325,16 +325,17 @@ def one_per_group(docs: DataFrame, **params) -> DataFrame:
     Rows without a text stay; those without an id are told apart by all their columns.  Of rows that share a doc_id one stays, the one with
     the smallest text.
     """
-    docs = keyed(docs)
+    docs, held = keyed(docs)
     left = drop_ids(docs, near_duplicates(docs, **params))
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
-        return unkeyed(left)
+        return unkeyed(left, held)
     from pyspark.sql import Window
 
     order = [F.col("text").asc_nulls_last(), *(F.col(c) for c in left.columns if dict(left.dtypes)[c] in ("bigint", "int", "string") and c not in ("doc_id", "text"))]
-    ranked = keep_ids(left, twice).withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-    return unkeyed(drop_ids(left, twice).unionByName(ranked.where("__rank = 1").drop("__rank")))
+    (rank,) = fresh(docs, "__rank")
+    ranked = keep_ids(left, twice).withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    return unkeyed(drop_ids(left, twice).unionByName(ranked.where(F.col(rank) == 1).drop(rank)), held)
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,12 +150,17 @@ def window_minima(grams: np.ndarray, w: int) -> np.ndarray:
     """For every position the place of the leftmost smallest of the w gram hashes from it on.
 
     Hashes are compared by their upper 38 bits and then by place, so equal passages choose
-    the same place wherever they stand.
+    the same place wherever they stand.  Any length will do: places are counted within chunks that overlap by a window.
     """
-    assert len(grams) < 1 << _POS_BITS, "a single text of over 67 million words"
     n = len(grams) - w + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
+    chunk = 1 << (_POS_BITS - 1)
+    return np.concatenate([_minima(grams[a : min(a + chunk, n) + w - 1], w) + a for a in range(0, n, chunk)])
+
+
+def _minima(grams: np.ndarray, w: int) -> np.ndarray:
+    n = len(grams) - w + 1
     key = (grams & U((2**64 - 1) ^ (2**_POS_BITS - 1))) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while span * 2 <= w:

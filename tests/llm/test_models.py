@@ -218,6 +218,15 @@ def test_held_out_domains(spark):
     assert said[toxic].mean() > 0.7 and said[~toxic].mean() < 0.01  # two in five labelled toxic documents have no word that marks them
 
 
+def test_labels_that_contradict_one_another_count_by_the_worst(spark):
+    docs = frame(spark, [(i, prose(i, 20)) for i in range(6)] * 4)
+    labels = [(0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 1, 0), (2, None, 0), (2, 1, None), (3, 1, 0), (None, 0, 1)]
+    want = [(0, "toxic"), (1, "junk"), (2, "en"), (3, "en")]
+    for rows in (labels, labels[::-1]):
+        lab = spark.createDataFrame(rows, "doc_id long, quality int, toxic int").repartition(3)
+        assert rows_of(mixing.labelled(docs, lab), "doc_id", "domain") == want  # one row each, however often the text is there
+
+
 def test_totals_meet_the_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -116,6 +116,18 @@ def test_bitmap_has_no_false_negatives(spark):
     assert passages.member(bits, other).mean() < 0.05
 
 
+def test_minima_of_long_texts_are_counted_in_chunks(monkeypatch):
+    from rowsift.llm import textkit
+
+    grams = np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)
+    grams[1000:1400] = 7
+    whole = textkit.window_minima(grams, 35)
+    assert (whole == [i + int(np.argmin(grams[i : i + 35] >> np.uint64(26))) for i in range(len(grams) - 34)]).all()
+    monkeypatch.setattr(textkit, "_POS_BITS", 8)
+    short = [i + int(np.argmin(grams[i : i + 35] >> np.uint64(8))) for i in range(len(grams) - 34)]
+    assert (textkit.window_minima(grams, 35) == short).all()
+
+
 # ── Decontamination ──
 
 LEAST = 13

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rowsift.llm import queries
 from rowsift.llm.common import row_key
 from rowsift.llm.decontaminate import clean, shared_spans
-from rowsift.llm.mixing import copies_of
+from rowsift.llm.mixing import copies_of, mixing_rates
 from rowsift.llm.quality import verdicts
 from rowsift.llm.sharding import plan
 from rowsift.llm.simhash import near_duplicates, one_per_group
@@ -30,7 +30,9 @@ def test_each_stage_does_what_its_operator_says(spark, tmp_path):
             bad = shared_spans(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
             assert ids(out) == ids(docs) - ids(bad)
         elif name == "mixing":
-            assert ids(out) <= ids(docs) and out.exceptAll(out.intersectAll(out)).isEmpty()
+            times = {r.doc_id: r.copies for r in mixing_rates(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+            assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == {d: n for d, n in times.items() if n}
+            assert max(times.values()) > 1 and min(times.values()) == 0
         else:
             shard = {(r.source, r.block): r["shard"] for r in plan(docs).collect()}
             assert out.count() == docs.count() and all(r.shard == shard[r.source, r.doc_id // 256] for r in out.collect())
@@ -71,6 +73,26 @@ def test_rows_without_an_id_are_judged_one_by_one(spark):
     assert n == {0, 1}
 
 
+def test_stages_leave_columns_of_any_name_alone(spark, tmp_path):
+    names = ["__id", "__ID_", "__m", "__doubt", "__rank", "__rate", "__n", "__i", "__s", "__b", "__shard", "__bad_host", "__gone", "__kept", "__lab", "shard_", "ord", "upto", "part", "failed", "host"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(frame(spark, [(None, "no id"), (1, "shared id, other text")]))
+    docs.select("*", *(F.concat(F.lit(f"{k}-"), F.coalesce("doc_id", F.lit(-1))).alias(name) for k, name in enumerate(names))).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns + (["shard"] if name == "sharding" else [])
+        rows = out.select("doc_id", *names).toPandas()
+        ids = rows.doc_id.fillna(-1).astype(int).astype(str)
+        assert len(rows) > 100 and all((rows[col] == f"{k}-" + ids).all() for k, col in enumerate(names)), name
+
+
+def test_rows_that_share_an_id_are_decontaminated_one_by_one(spark):
+    item = prose(2, 40)
+    docs = frame(spark, [(1, prose(3, 40) + " " + item), (1, prose(4, 40)), (None, item), (None, prose(5, 40)), (2, None)])
+    left = clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(str(tuple(r)) for r in docs.collect() if item not in (r.text or ""))
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_every_operator_has_its_query(n):
     assert sum(name.startswith(f"op{n}_") for name in queries.queries()) == 1

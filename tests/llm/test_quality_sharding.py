@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rowsift.llm import quality, sharding
 from rowsift.llm.quality import RULES, SHARES, acceptable, measures_of, verdicts
@@ -27,6 +28,20 @@ def brute_measures(text):
     return [len(text), sum(c in quality.SYMBOLS for c in text), upper, upper + sum("a" <= c <= "z" for c in text), len(w), w.count("|"), repeated, sum(a == b for a, b in zip(w, w[1:]))]
 
 
+def brute_prior(hosts):
+    """Mean and weight of the prior from (failures, documents) of each host, straight from the analysis of variance."""
+    n, h = sum(k for _, k in hosts), len(hosts)
+    m = sum(x for x, _ in hosts) / n
+    if h < 2 or n == h:
+        return m, 1e6
+    between = sum(k * (x / k - m) ** 2 for x, k in hosts) / (h - 1)
+    within = sum(k * (x / k) * (1 - x / k) for x, k in hosts) / (n - h)
+    each = (n - sum(k * k for _, k in hosts) / n) / (h - 1)
+    spread = between + (each - 1) * within
+    share = (between - within) / spread if spread else 0
+    return m, max(1 / share - 1, 1.0) if share > 1e-6 else 1e6
+
+
 def brute_verdicts(rows):
     judged = []
     for doc, text, host in rows:
@@ -39,11 +54,9 @@ def brute_verdicts(rows):
 
         judged.append((doc, host, beyond(1), any(beyond(0).values())))
     hosts = defaultdict(list)
-    for _, host, _, doubt in judged:
-        hosts[host].append(doubt)
-    rates = [sum(v) / len(v) for v in hosts.values()]
-    m, v = np.mean(rates), np.var(rates)
-    weight = max(m * (1 - m) / v - 1, 1.0) if v * 1e6 > m * (1 - m) else 1e6
+    for _, host, failed, _ in judged:
+        hosts[host].append(any(failed.values()))
+    m, weight = brute_prior([(sum(v), len(v)) for v in hosts.values()])
     out = []
     for doc, host, failed, doubt in judged:
         rate = (sum(hosts[host]) + m * weight) / (len(hosts[host]) + weight)
@@ -57,6 +70,7 @@ def judged_rows():
     for i in range(300):
         host = f"h{i % 7}"
         kind = r.random() if host == "h3" else r.random() * 0.3
+        kind = 0.3 if host == "h3" and r.random() < 0.4 else kind
         words = prose(i, r.randint(5, 60)).split()
         if kind > 0.8:
             words = [w + "##" if r.random() < 0.3 else w for w in words]
@@ -156,10 +170,31 @@ def test_plan_is_contiguous_atomic_and_minimal(spark):
     assert len(placed) == 1500 and all(r.shard == by[r.source, r.doc_id // 64] for r in placed)
 
 
-def test_streamed_search_agrees_with_the_driver(spark):
-    docs = frame(spark, shard_docs())
+@pytest.mark.parametrize("coarse", [1, 3, 40])
+def test_search_with_few_prefix_sums_at_a_time_finds_the_same(spark, monkeypatch, coarse):
+    docs = frame(spark, shard_docs() + [(5000, "x" * 9000, "s1"), (5300, "x" * 9000, "s1")])
     key = lambda df: rows_of(df, "source", "block", "size", "shard", "capacity")
-    assert key(sharding.plan(docs, 8, 64, driver_groups=0)) == key(sharding.plan(docs, 8, 64))
+    expected = key(sharding.plan(docs, 8, 16))
+    monkeypatch.setattr(sharding, "COARSE", coarse)
+    assert key(sharding.plan(docs, 8, 16)) == expected
+    assert expected[0][4] == best_capacity(np.array([r[2] for r in expected]), 8)
+
+
+def test_blocks_of_large_and_negative_ids_are_exact(spark):
+    ids = [2**62 + 255, 2**62 + 256, 2**53 + 1, -1, -256, -257, 0, None]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(sharding.block_of(F.col("i"), 256)).collect()]
+    assert got == [None if i is None else i // 256 for i in ids]
+
+
+def test_a_host_of_few_documents_shrinks_to_the_mean_and_chance_is_no_difference(spark):
+    judged = [("big", i % 10 == 0) for i in range(1000)] + [("far", i % 2 == 0) for i in range(1000)] + [(f"one{i}", i < 4) for i in range(40)]
+    rates = {r.host: r.host_rate for r in quality.host_rates(spark.createDataFrame(judged, "host string, failed boolean")).collect()}
+    m, weight = brute_prior([(100, 1000), (500, 1000)] + [(int(i < 4), 1) for i in range(40)])
+    assert weight > 1.5 and np.isclose(rates["one0"], (1 + m * weight) / (1 + weight)) and abs(rates["far"] - 0.5) < 0.01
+    same = [(f"h{i % 4}", i // 4 % 5 == 0) for i in range(400)]
+    assert {round(r.host_rate, 9) for r in quality.host_rates(spark.createDataFrame(same, "host string, failed boolean")).collect()} == {0.2}
+    for alone in ([("a", True)], [("a", True), ("b", False)], []):
+        assert quality.host_rates(spark.createDataFrame(alone, "host string, failed boolean")).count() == len(alone)
 
 
 def test_edges_of_sharding(spark, edges, edge_rows, nothing, nulls_only):
