@@ -10,6 +10,7 @@ expected counts).  The text of the nodes whose content marginal exceeds one half
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -50,7 +51,13 @@ class Page:
         self.parent, self.tag, self.depth, self.hint, self.label = [-1], ["#page"], [0], [""], [-1]
         self.pieces: list[tuple[int, str]] = []
         stack, at = [0], 0
+        open_ = Counter()  # open elements by name, so a name that isn't open is never sought
         end = len(html)
+
+        def close(k: int) -> None:
+            open_.subtract(self.tag[node] for node in stack[k:])
+            del stack[k:]
+
         while True:
             m = _TAG.search(html, at)
             stop = m.start() if m else end
@@ -66,9 +73,9 @@ class Page:
                 continue
             name = name.lower()
             if m.group(1):
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if open_[name] else ():
                     if self.tag[stack[k]] == name:
-                        del stack[k:]
+                        close(k)
                         break
                     if self.tag[stack[k]] in _FENCE and name not in _FENCE:
                         break
@@ -79,11 +86,11 @@ class Page:
             if name in _VOID:
                 continue
             closing = _ENDS.get(name, ())
-            if closing or name in _CLOSES_P:
+            if any(open_[t] for t in closing) or (name in _CLOSES_P and open_["p"]):
                 for k in range(len(stack) - 1, 0, -1):
                     t = self.tag[stack[k]]
                     if t in closing or (t == "p" and name in _CLOSES_P):
-                        del stack[k:]
+                        close(k)
                         break
                     if t in _FENCE:
                         break
@@ -97,10 +104,11 @@ class Page:
             lab = _LABEL.search(attrs) if attrs else None
             self.label.append(int(lab.group(1)) if lab else -1)
             if name in _RAW and not (name == "svg" and attrs.endswith("/")):
-                close = _CLOSE[name].search(html, at)
-                at = end if not close else (html.find(">", close.end()) + 1 or end)
+                found = _CLOSE[name].search(html, at)
+                at = end if not found else (html.find(">", found.end()) + 1 or end)
             elif not attrs.endswith("/"):
                 stack.append(node)
+                open_[name] += 1
 
 
 class Forest:
@@ -131,14 +139,15 @@ class Forest:
         linked = np.where(group == 1, own, 0.0)
         below, links, items = own.copy(), linked.copy(), np.zeros(n)
         kids = np.zeros(n)
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max()) + 1)] if n else []
+        order = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(order, np.cumsum(np.bincount(self.depth))[:-1])[1:] if n else []
         shade = np.maximum(poor, np.where(group == 7, 1.0, 0.0))
         for level in reversed(self.levels):
             up = self.parent[level]
-            below += np.bincount(up, weights=below[level], minlength=n)
-            links += np.bincount(up, weights=links[level], minlength=n)
-            items += np.bincount(up, weights=(group[level] == 2).astype(float), minlength=n)
-            kids += np.bincount(up, minlength=n)
+            np.add.at(below, up, below[level])
+            np.add.at(links, up, links[level])
+            np.add.at(items, up, (group[level] == 2).astype(float))
+            np.add.at(kids, up, 1)
         for level in self.levels:
             shade[level] = np.maximum(shade[level], shade[self.parent[level]])
         density = links / np.maximum(below, 1)
@@ -169,8 +178,7 @@ class TreeModel:
             s = up[level][:, None, :] + self.pair[kind[level]]
             message[level] = np.logaddexp(s[:, :, 0], s[:, :, 1])
             p = forest.parent[level]
-            for k in (0, 1):
-                up[:, k] += np.bincount(p, weights=message[level, k], minlength=n)
+            np.add.at(up, p, message[level])
         full = up.copy()
         both = np.zeros((n, 2, 2))
         for level in forest.levels:
@@ -237,10 +245,10 @@ def labelled_pages(n: int = LABELLED, seed: int = SEED) -> list[str]:
     out = []
     for _ in range(n):
         noisy = r.random() < 0.2
-        style = r.integers(6)
-        tag, attr = [("article", ""), ("main", ""), ("div", ' class="post-content"'), ("div", ""), ("section", ' id="story"'), ("td", "")][style]
+        style = r.integers(7)
+        tag, attr = [("article", ""), ("main", ""), ("div", ' class="post-content"'), ("div", ""), ("section", ' id="story"'), ("td", ""), ("td", "")][style]
         parts = [f"<h1>{sentence(3, 9)}</h1>"]
-        for _ in range(r.integers(1, 14)):
+        for _ in range(r.integers(1, r.choice([4, 14]))):
             kind = r.random()
             body = " ".join(sentence(3, 20) for _ in range(r.integers(1, 6)))
             if kind < 0.55:
@@ -259,7 +267,8 @@ def labelled_pages(n: int = LABELLED, seed: int = SEED) -> list[str]:
                 parts.append(f"<blockquote>{body}</blockquote>")
         content = f'<{tag}{attr} data-content="1">{"".join(parts)}</{tag}>'
         if tag == "td":
-            content = f"<table><tr>{content}</tr></table>"
+            cell = ["", f"<td><ul>{links(r.integers(2, 7))}</ul></td>", f"<td>{'<br>'.join(f'<a href={word()}>{word()}</a>' for _ in range(r.integers(2, 7)))}</td>"][r.integers(3)]
+            content = f"<table><tr>{cell}{content}</tr></table>"
         nav = [f"<nav><ul>{links(r.integers(3, 9))}</ul></nav>", f'<div class="menu">{links(r.integers(3, 9))}</div>', f"<ul>{links(r.integers(4, 10))}</ul>", ""][r.integers(4)]
         ad = ["", f'<div class="ad">{sentence(2, 12)}</div>', f"<div class='banner'><p>{sentence(3, 10)}</p></div>", f"<aside><h3>{word()}</h3><p>{sentence(3, 18)}</p>{links(3)}</aside>"][r.integers(4)]
         foot = [f"<footer>&copy; {word()}.example.com &middot; {sentence(2, 10)}</footer>", f'<div id="footer"><p>{sentence(3, 14)}</p><a href="/{word()}">{word()}</a></div>', ""][r.integers(3)]
@@ -312,7 +321,8 @@ def extracted(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     """(page_id, url, text, n_nodes, n_content, certainty), one row a page.
 
     ``certainty`` is the mean over nodes of the likelier state's marginal.  Defined cases: a null or empty page, and one
-    without tags, has no element; text outside of any element belongs to the page's root and is judged like an element's; null ids and urls are
+    without tags, has no element; text outside of any element belongs to the page's root and is judged like an element's; very long and very
+    deep pages are read whole, in time that grows with their length; a node whose marginal is exactly one half is left out; null ids and urls are
     passed on; repeated rows are extracted each time; an empty table gives no rows; other columns
     play no part.
     """
