@@ -2,21 +2,16 @@
 
 A token is a run of non-blank characters, as it stands.  A window is ``WINDOW`` tokens.  Each window
 has an anchor, the smallest of its 16-grams; equal windows have equal anchors, and few
-places of a text are anchors.  So the anchors, one for some 18 tokens, tell which windows can occur
-twice at all, and only these windows are compared.
+places of a text are anchors, one in some 18 tokens.  All windows in a row with one anchor make up a
+context: the tokens that these windows cover.  Anchors and contexts are named by 64 bits each, so a context by 128.
 
-Bucket identifiers are 64-bit names of buckets of equal grams.  A bucket of short grams is refined by
-the identifier found some offset later; the refined identifiers are used again at the
-next level: 7, 13 and 25 tokens.  Two identifiers, at offsets 0 and 25, name a window by 128 bits.
-
-Set membership on the way is a bitmap over hash prefixes of at most 64 MB with about 64 bits a
-member (fewer beyond eight million members).  It has no false negatives, and a false positive only sends one
-more window to the exact comparison.
+Equal contexts hold equal windows, so whatever is asked of windows is asked once for each distinct
+context, and the answer goes to all its occurrences.  A context whose anchor has no other context shares no window with
+one; only contexts that differ under one anchor have to be compared window by window.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,170 +19,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import SOLID, Tokens, U, gram_hashes, mix, signed, text_buffers, window_minima, window_starts
+from .common import drop_ids, keep_ids
+from .textkit import SOLID, Tokens, U, gram_hashes, mix, run_hashes, signed, slices, text_buffers, window_minima, window_starts
 
 WINDOW, ANCHOR = 50, 16
-MAX_BITMAP_LOG2 = 29
-_SEGMENT_LOG2 = 19
-ROWS_AT_ONCE = 200_000
+#: End of a context, whatever its length.
+ALL = 2**31 - 1
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id and text of the rows that have both."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    """doc_id and text of the rows that have both, and ``th`` to tell texts of a doc_id apart; equal rows once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    rows = rows.withColumn("th", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
+    twice = rows.groupBy("doc_id", F.xxhash64("text").alias("h")).count().where("count > 1").select("doc_id").distinct()
+    return rows if twice.isEmpty() else drop_ids(rows, twice).unionByName(keep_ids(rows, twice).dropDuplicates())
 
 
 class Windows:
-    """Windows of a slice (doc_id, text) with their anchors."""
+    """Windows of a slice with their anchors and contexts; ``texts`` is the string column."""
 
-    def __init__(self, part: pa.RecordBatch):
-        tok = Tokens(*text_buffers(part.column(1)), SOLID)
-        self.h = tok.hashes()
-        self.at = window_starts(tok.bounds, WINDOW)
+    def __init__(self, texts: pa.Array):
+        self.tok = Tokens(*text_buffers(texts), SOLID)
+        self.h = self.tok.hashes()
+        self.at = window_starts(self.tok.bounds, WINDOW)
         grams = gram_hashes(self.h, ANCHOR)
-        self.anchor = window_minima(grams, WINDOW - ANCHOR + 1)[self.at] if len(self.at) else self.at
-        self.key = grams[self.anchor]
-        row = np.searchsorted(tok.bounds, self.at, "right") - 1
-        self.doc = part.column(0).to_numpy(zero_copy_only=False)[row].astype(np.int64)
-        self.first, self.last = tok.bounds[:-1][row], tok.bounds[1:][row]
-
-    def anchors(self) -> tuple[np.ndarray, ...]:
-        """Each anchor once: hash, doc_id, its place, and the first and last window it stands for."""
-        if not len(self.at):
-            return (np.zeros(0, dtype=np.int64),) * 5
-        new = np.flatnonzero(np.concatenate([[True], (self.anchor[1:] != self.anchor[:-1]) | (self.first[1:] != self.first[:-1])]))
-        end = np.append(new[1:], len(self.at)) - 1
-        base = self.first[new]
-        return signed(self.key[new]), self.doc[new], self.anchor[new] - base, self.at[new] - base, self.at[end] - base
-
-    def rows(self, keep: np.ndarray) -> pa.RecordBatch:
-        """Identifiers of the kept windows, with the tokens before and behind."""
-        ids = bucket_ids(self.h)
-        at, doc = self.at[keep], self.doc[keep]
-        edge = mix(doc.astype(np.uint64) * U(2654435761) + at.astype(np.uint64))
-        low = U(0xFFFFFFFF)
-        before = np.where(at > self.first[keep], self.h[np.maximum(at - 1, 0)], edge) & low
-        behind = np.where(at + WINDOW < self.last[keep], self.h[np.minimum(at + WINDOW, len(self.h) - 1)], ~edge) & low
-        place = (at - self.first[keep]).astype(np.int32)
-        cols = [signed(ids[at]), signed(ids[at + WINDOW // 2]), signed((before << U(32)) | behind), doc, place]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["b1", "b2", "around", "doc_id", "pos"])
-
-
-WINDOW_ROWS = "b1 long, b2 long, around long, doc_id long, pos int"
-
-
-def bucket_ids(tokens: np.ndarray) -> np.ndarray:
-    """Identifiers of the 25-token buckets: 7-gram buckets refined at offset 6, then at offset 12."""
-    b = gram_hashes(tokens, 7)
-    for offset in (6, 12):
-        b = mix(b[:-offset] * U(0x9E3779B97F4A7C15) + b[offset:]) if len(b) > offset else b[:0]
-    return b
-
-
-def bitmap(hashes: DataFrame, count: int) -> np.ndarray:
-    """Bits of the hash prefixes in column h, packed; its length tells how many bits a prefix has."""
-    log2 = min(MAX_BITMAP_LOG2, max(_SEGMENT_LOG2, math.ceil(math.log2(64 * max(1, count)))))
-
-    def pack(key: tuple, part: pa.Table) -> pa.Table:
-        at = part["at"].to_numpy() & ((1 << _SEGMENT_LOG2) - 1)
-        bits = np.zeros(1 << _SEGMENT_LOG2, dtype=bool)
-        bits[at] = True
-        return pa.table({"seg": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    at = F.shiftrightunsigned("h", 64 - log2)
-    segments = hashes.select(at.alias("at"), F.shiftright(at, _SEGMENT_LOG2).alias("seg")).groupBy("seg").applyInArrow(pack, "seg long, bits binary")
-    out = np.zeros(1 << (log2 - 3), dtype=np.uint8)
-    size = 1 << (_SEGMENT_LOG2 - 3)
-    for row in segments.toLocalIterator():
-        out[row.seg * size : (row.seg + 1) * size] = np.frombuffer(row.bits, dtype=np.uint8)
-    return out
-
-
-def member(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> U(64 - 3 - (len(bits).bit_length() - 1))
-    return (bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 != 0
+        anchor = window_minima(grams, WINDOW - ANCHOR + 1)[self.at] if len(self.at) else self.at
+        row = np.searchsorted(self.tok.bounds, self.at, "right") - 1
+        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])) if len(self.at) else self.at
+        end = np.append(new[1:], len(self.at))
+        #: For each context: its row, anchor, tokens from lo to hi + WINDOW (by place in the slice) and first window by place in the text.
+        self.row, self.key = row[new], grams[anchor[new]]
+        self.lo, self.hi = self.at[new], self.at[end - 1] if len(new) else self.at
+        self.ctx = run_hashes(self.h, self.lo, self.hi + WINDOW)
+        self.base = self.tok.bounds[:-1][self.row]
 
 
-def anchor_place(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Hash of an anchor at its place."""
-    return mix(h.view(np.uint64) + mix(doc.astype(np.uint64) * U(0x9E3779B97F4A7C15) + pos.astype(np.uint64)))
+OCCURRENCES = "key long, ctx long, doc_id long, th int, lo int, hi int"
 
 
-EVENTS = "doc_id long, pos int, starts boolean, ends boolean, first_doc long, copies long"
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(key, ctx, doc_id, th, lo, hi): every context of every text; windows lo to hi."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                w = Windows(part.column(1))
+                at = pa.array(w.row)
+                cols = [pa.array(signed(w.key)), pa.array(signed(w.ctx)), part.column(0).take(at), part.column(2).take(at), pa.array((w.lo - w.base).astype(np.int32)), pa.array((w.hi - w.base).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "ctx", "doc_id", "th", "lo", "hi"])
+
+    return rows.select("doc_id", "text", "th").mapInArrow(run, OCCURRENCES)
+
+
+def wanted(w: Windows, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(which context of w, value) of the contexts that each row's list of structs (key, ctx, c) asks for, each the first time it stands there."""
+    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten()
+    name = lambda row, key, ctx: mix(key + mix(ctx + mix(row.astype(np.uint64))))
+    asked = name(rows, flat.field("key").to_numpy().view(np.uint64), flat.field("ctx").to_numpy().view(np.uint64))
+    have, first = np.unique(name(w.row, w.key, w.ctx), return_index=True)
+    at = np.searchsorted(have, asked)
+    ok = at < len(have)
+    ok[ok] = have[at[ok]] == asked[ok]
+    return first[at[ok]], flat.field("c").to_numpy()[ok]
+
+
+def streamed(batches: Iterator[pa.RecordBatch], groups: int, most: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut only where the first ``groups`` columns change; a larger group comes whole."""
+    held: list[list[np.ndarray]] = []
+    n, enough = 0, most
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += batch.num_rows
+        if n < enough:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        edge = np.flatnonzero(changes(cols[:groups]))
+        end = int(edge[-1])
+        if end:
+            yield [c[:end] for c in cols]
+        held, n = [[c[end:] for c in cols]], len(cols[0]) - end
+        enough = max(most, 2 * n)  # a group larger than that is copied a few times, not once a batch
+    if n:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def changes(cols: list[np.ndarray]) -> np.ndarray:
+    """Where the columns differ from the row before; true for the first row."""
+    out = np.ones(len(cols[0]), dtype=bool)
+    if len(out):
+        out[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return out
 
-def events(windows: DataFrame, earlier: bool, since: int | None = None) -> DataFrame:
-    """Places where a stretch of repeated windows starts or ends.
-
-    ``windows`` is sorted into classes of equal windows.  With ``earlier`` a window is repeated if it occurs
-    before, in the order of (doc_id, pos), else if it occurs anywhere else.  A stretch goes on over a
-    neighbour if both together, one token more than a window, are repeated as well.  ``since``: only windows of
-    documents from this doc_id on are reported.  A class is held in memory by one task.
-    """
-
-    def classes(b1: np.ndarray, b2: np.ndarray, around: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        new = np.concatenate([[True], (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])])
-        fresh = new | np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])])
-        new, around, doc, pos = new[fresh], around[fresh].view(np.uint64), doc[fresh], pos[fresh]
-        cls = np.cumsum(new) - 1
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(new)))
-        many = size[cls] > 1
 
-        def alone(side: np.ndarray) -> np.ndarray:
-            key = (cls.astype(np.uint64) << U(32)) | side
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            first = np.concatenate([[True], k[1:] != k[:-1]])
-            out = np.empty(len(k), dtype=bool)
-            out[order] = first if earlier else first & np.concatenate([first[1:], [True]])
-            return out
+def ranges(c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs of neighbouring p within equal c."""
+    new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1)])) if len(c) else np.zeros(0, dtype=np.int64)
+    return new, np.append(new[1:], len(c)) - 1 if len(c) else new
 
-        keep = np.flatnonzero(many)
-        cls_all, head_all, doc_all = cls, head, doc
-        cls, around = cls[keep], around[keep]
-        starts, ends = (alone(around >> U(32)), alone(around & U(0xFFFFFFFF))) if len(keep) else (np.zeros(0, bool),) * 2
-        told = starts | ends
-        if earlier:
-            told &= keep != head_all[cls_all[keep]]
-        if since is not None:
-            told &= doc_all[keep] >= since
-        rows = keep[told]
-        c = cls_all[rows]
-        return pa.RecordBatch.from_arrays([pa.array(doc_all[rows]), pa.array(pos[rows]), pa.array(starts[told]), pa.array(ends[told]), pa.array(doc_all[head_all[c]]), pa.array(size[c])], names=["doc_id", "pos", "starts", "ends", "first_doc", "copies"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        n, enough = 0, ROWS_AT_ONCE
-        for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            n += batch.num_rows
-            if n < enough:
-                continue
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            differs = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
-            end = int(differs[-1]) + 1 if len(differs) else 0
-            if end:
-                yield classes(*(c[:end] for c in cols))
-            held, n = [[c[end:] for c in cols]], len(cols[0]) - end
-            enough = max(ROWS_AT_ONCE, 2 * n)  # a class larger than that is copied a few times, not once a batch
-        if n:
-            yield classes(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    return windows.repartition("b1").sortWithinPartitions("b1", "b2", "doc_id", "pos").mapInArrow(run, EVENTS)
-
-
-def segments(found: DataFrame) -> DataFrame:
-    """(doc_id, s, e, first_doc, copies): stretches from window s to window e."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    ended = found.withColumn("e", F.when(F.col("ends"), F.col("pos")).otherwise(F.lead("pos").over(w)))
-    return ended.where("starts").select("doc_id", F.col("pos").alias("s"), "e", "first_doc", "copies")
-
-
-def spans(stretches: DataFrame) -> DataFrame:
-    """(doc_id, start, n_words, first_doc, copies): neighbouring stretches joined; the last two are those of the first window."""
-    w = Window.partitionBy("doc_id").orderBy("s")
+def spans(stretches: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, start, n_words, ...): stretches (doc_id, th, s, e, ...) of windows, neighbours joined; the further columns are those of the first window."""
+    w = Window.partitionBy("doc_id", "th").orderBy("s")
     marked = stretches.withColumn("new", F.coalesce((F.col("s") != F.lag("e").over(w) + 1).cast("int"), F.lit(1)))
-    joined = marked.withColumn("run", F.sum("new").over(w)).groupBy("doc_id", "run")
-    out = joined.agg(F.min("s").alias("start"), (F.max("e") - F.min("s") + WINDOW).cast("int").alias("n_words"), F.min_by("first_doc", "s").alias("first_doc"), F.min_by("copies", "s").alias("copies"))
+    joined = marked.withColumn("run", F.sum("new").over(w))
+    head = [F.max(F.when(F.col("new") == 1, F.col(c))).alias(c) for c in kept]
+    out = joined.groupBy("doc_id", "th", "run").agg(F.min("s").alias("start"), (F.max("e") - F.min("s") + WINDOW).cast("int").alias("n_words"), *head)
     return out.drop("run")
+
+
+__all__ = ["ALL", "ANCHOR", "U", "WINDOW", "Windows", "changes", "occurrences", "ranges", "rows_of", "spans", "streamed", "wanted"]

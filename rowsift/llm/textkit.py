@@ -123,18 +123,27 @@ def substring_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
     return mix((acc[end] - acc[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def gram_hashes(words: np.ndarray, k: int, second: bool = False) -> np.ndarray:
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each position on; meaningful where k words of one document follow."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    up, down = (_powers2 if second else _powers).get(len(words) + 1)
+    up, down = _powers.get(len(words) + 1)
     acc = np.empty(len(words) + 1, dtype=np.uint64)
     acc[0] = 0
     np.cumsum(words * up[: len(words)], out=acc[1:])
     return mix((acc[k:] - acc[:n]) * down[:n])
 
 
+def run_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from start to end of each run; the number of words takes part."""
+    up, down = _powers2.get(len(words) + 1)
+    acc = np.empty(len(words) + 1, dtype=np.uint64)
+    acc[0] = 0
+    np.cumsum(words * up[: len(words)], out=acc[1:])
+    return mix((acc[end] - acc[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def window_starts(bounds: np.ndarray, k: int) -> np.ndarray:
     """Positions from which k words follow within their document, in order."""
     n = np.maximum(np.diff(bounds) - k + 1, 0)

@@ -3,11 +3,12 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from rowsift.llm import passages
+from rowsift.llm import fpindex, passages, suffix
 from rowsift.llm.decontaminate import clean, shared_spans
 from rowsift.llm.fpindex import FingerprintIndex, incremental_repeats
 from rowsift.llm.passages import rows_of as texts_of
@@ -18,6 +19,11 @@ from .conftest import frame, prose, rows_of
 N = passages.WINDOW
 
 
+@pytest.fixture(autouse=True)
+def _few_buckets(monkeypatch):
+    monkeypatch.setattr(fpindex, "BUCKETS", 4)
+
+
 @pytest.fixture(scope="module")
 def corpus():
     """Texts with shared passages, some overlapping, some touching, one right at a window's length, and repeats within a text."""
@@ -80,20 +86,88 @@ def test_substring_dedup_is_brute_force_for_any_batches(spark, corpus, batches):
     assert got == brute(corpus, True) and len(got) > 20
 
 
-def test_classes_that_span_chunks_of_a_task(spark, corpus, monkeypatch):
-    monkeypatch.setattr(passages, "ROWS_AT_ONCE", 1)
-    got = rows_of(repeated_passages(frame(spark, corpus)), "doc_id", "start", "n_words", "first_doc", "copies")
-    assert got == brute(corpus, False)
-
-
-def test_index_is_compacted_and_smaller_than_the_anchors(spark, corpus):
+def test_groups_that_span_chunks_of_a_task(spark, corpus, monkeypatch):
+    for module in (suffix, fpindex):
+        monkeypatch.setattr(module, "ROWS_AT_ONCE", 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = rows_of(repeated_passages(frame(spark, corpus)), "doc_id", "start", "n_words", "first_doc", "copies")
+        assert got == brute(corpus, False)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_buckets_are_refined_to_the_order_of_the_suffixes(spark, monkeypatch):
+    """Suffixes of periodic and shared texts: buckets are equal prefixes, and in a bucket the order is that of the pointers."""
+    r = random.Random(3)
+    texts = {i: [r.choice("abc") for _ in range(120)] + ["z"] * 60 for i in range(6)}
+    texts[6] = texts[2][:70] + ["q"] * 60
+    name = {w: k for k, w in enumerate("abcqz")}
+    grams = sorted({tuple(t[p : p + 13]) for t in texts.values() for p in range(len(t) - 12)})
+    number = {g: 10 * k for k, g in enumerate(grams)}  # initial buckets in the order of their tokens
+    assert name
+    at = lambda i, p: number[tuple(texts[i][p : p + 13])]
+    rows = [(at(i, p), at(i, p + 13), i, p) for i, t in texts.items() for p in range(len(t) - 25)]
+    df = spark.createDataFrame(rows, suffix.SUFFIXES).coalesce(1)
+    monkeypatch.setattr(suffix, "ROWS_AT_ONCE", 5)
+    one = suffix.refine(df)
+    two = suffix.refine(suffix.pointers(one, 24))
+    for level, n in ((one, 26), (two, 50)):
+        got, by = level.collect(), defaultdict(set)
+        count = defaultdict(int)
+        for i, t in texts.items():
+            for p in range(len(t) - n + 1):
+                count[tuple(t[p : p + n])] += 1
+        assert {(x.c, x.p) for x in got} == {(i, p) for i, t in texts.items() for p in range(len(t) - n + 1) if count[tuple(t[p : p + n])] > 1}
+        for x in got:
+            by[x.b].add(tuple(texts[x.c][x.p : x.p + n]))
+        assert all(len(v) == 1 for v in by.values()) and len(by) == sum(k > 1 for k in count.values())
+        parts = defaultdict(list)
+        for b, v in by.items():
+            parts[b >> 40].append((b, next(iter(v))))
+        if n == 26:
+            for part in parts.values():  # each task's buckets lie in the order of their tokens
+                assert [v for _, v in sorted(part)] == sorted(v for _, v in part)
+
+
+def test_index_is_compacted_without_a_shuffle_and_can_be_opened_again(spark, corpus):
     rows = texts_of(frame(spark, corpus)).cache()
-    index = FingerprintIndex(spark)
+    index, told = FingerprintIndex(spark, buckets=8), []
     for a in range(0, 64, 8):
-        index.ingest(rows.where(f"doc_id >= {a} and doc_id < {a + 8}"), rows.where(f"doc_id < {a}"), a)
+        part = index.ingest(rows.where(f"doc_id >= {a} and doc_id < {a + 8}"), rows.where(f"doc_id < {a}"), a)
+        told.append(part)
+        if a in (8, 24, 40):
+            index.close()
+            path, runs = index.path, index.runs
+            index = FingerprintIndex(spark, path)
+            assert index.runs == runs and index.buckets == 8
     assert [level for level, _ in index.runs] == [3]
-    hashes = index.entries().select("h").collect()
-    assert len(hashes) > len({h.h for h in hashes}) * 0.5
+    got = rows_of(passages.spans(told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3]).unionByName(told[4]).unionByName(told[5]).unionByName(told[6]).unionByName(told[7]), "first_doc"), "doc_id", "start", "n_words", "first_doc")
+    assert got == brute(corpus, True)
+    entries = index.entries().collect()
+    assert len(entries) == len({(e.key, e.ctx) for e in entries})
+    folder = Path(index.path.removeprefix("file:"))
+    assert {p.name for p in folder.iterdir() if not p.name.startswith(".")} == {"run-000015", "manifest-00000015.json"}
+    plan = index._merged([n for _, n in index.runs] * 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    keys = spark.createDataFrame([(e.key,) for e in entries[:5]], "key long").distinct()
+    for side in index.matching(keys)._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1:]:
+        run = side.split("Bucketed: true")[0]
+        assert "Exchange" not in run.splitlines()[-1] and "SortMergeJoin" not in run
+    assert {e.key for e in index.matching(keys).collect()} == {e.key for e in entries[:5]}
+    index.drop()
+    assert not folder.exists()
+
+
+def test_stretches_whose_texts_differ_are_not_told(spark):
+    p = prose(3, 60)
+    rows = texts_of(frame(spark, [(1, p), (2, p), (3, prose(4, 60))]))
+    th = {r.doc_id: r.th for r in rows.collect()}
+    claims = [(2, th[2], 0, 10, 1, th[1], 0), (2, th[2], 0, 10, 3, th[3], 0), (2, th[2], 3, 10, 1, th[1], 2)]
+    df = spark.createDataFrame(claims, "doc_id long, th int, s int, e int, first_doc long, first_th int, first_pos int")
+    got = fpindex._verified(df, rows.where("doc_id >= 2"), rows.where("doc_id < 2"), 2)
+    assert rows_of(got, "doc_id", "s", "first_doc") == [(2, 0, 1)]
 
 
 def test_edges_of_passage_finders(spark, edges, nothing, nulls_only):
@@ -107,15 +181,6 @@ def test_edges_of_passage_finders(spark, edges, nothing, nulls_only):
     assert rows_of(incremental_repeats(docs), "doc_id", "first_doc")[-1] == (9, 5)
 
 
-def test_bitmap_has_no_false_negatives(spark):
-    r = np.random.default_rng(1)
-    h = r.integers(-(2**63), 2**63, 5000)
-    bits = passages.bitmap(spark.createDataFrame([(int(x),) for x in h], "h long"), len(h))
-    assert passages.member(bits, h.view(np.uint64)).all()
-    other = r.integers(0, 2**63, 5000).astype(np.uint64)
-    assert passages.member(bits, other).mean() < 0.05
-
-
 def test_minima_of_long_texts_are_counted_in_chunks(monkeypatch):
     from rowsift.llm import textkit
 
