@@ -143,6 +143,9 @@ class Engine:
         self.spark, self.strict, self.time_field = spark, strict, time_field
         if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "GMT"):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # of a key that a record repeats the last value counts
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
 
     def frame(self, source: DataFrame | Frame | str | list[str], **options) -> Frame:
         if isinstance(source, Frame):

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import io
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lang
 from .api import Engine
 from .operators.frame import Frame
 from .plans.nodes import CountByTime
 from .sources import readers
+from .streaming import runner
 
 
 class Entry(NamedTuple):
@@ -149,6 +155,222 @@ RECORDS = {
 }
 
 
+# ── Sources, sinks, streams and the command line: every query writes what it reads from the tables and reads it back ──
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors see; see the setting spark.checkpoint.dir."""
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="rowsift-")
+    return f"{at}/formats-{uuid.uuid4().hex}"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.round("value", 4).alias("value"), ts)
+
+
+def _cell(name: str) -> Column:
+    return F.col(name).cast("string")
+
+
+#: How a row of the events is written in each line format.
+_LINES = {
+    "ndjson": lambda: F.to_json(F.struct("*")),
+    "logfmt": lambda: F.format_string('event_id=%s user_id=%s event_type="%s" value=%s ts=%s', *map(_cell, ("event_id", "user_id", "event_type", "value", "ts"))),
+    "text": lambda: F.concat_ws(" | ", *map(_cell, ("event_id", "event_type", "value"))),
+    "yaml": lambda: F.format_string("---\nevent_id: %s\nuser_id: %s\nevent_type: %s\nvalue: %s\nts: %s", *map(_cell, ("event_id", "user_id", "event_type", "value", "ts"))),
+    "csv": lambda: F.concat_ws(",", "event_id", "user_id", F.concat(F.lit('"'), F.col("event_type"), F.lit(',"""')), _cell("value"), "ts"),
+    "tsv": lambda: F.concat_ws("\t", *map(_cell, ("event_id", "user_id", "event_type", "value", "ts"))),
+}
+_HEADS = {"csv": "event_id,user_id,event_type,value,ts", "tsv": "event_id\tuser_id\tevent_type\tvalue\tts"}
+
+
+def _written(spark: SparkSession, rows: DataFrame, line: Column, ending: str, head: str | None = None, packed: bool = False) -> str:
+    """One file of these lines, in order of event_id, with a first line if there is one; the path of its folder."""
+    at = f"{_folder(spark)}.{ending}"
+    lines = rows.select(F.col("event_id").alias("n"), line.alias("value"))
+    if head is not None:
+        lines = lines.unionByName(spark.createDataFrame([(-1, head)], "n long, value string"))
+    lines.repartition(1).sortWithinPartitions("n").select("value").write.option("compression", "gzip" if packed else "none").text(at)
+    return at
+
+
+def _read(fmt: str, query: str, line: str | None = None, packed: bool = False, written: Callable[[DataFrame], DataFrame] = lambda df: df, sniffed: bool = True, **options) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = written(_events(spark, sf_dir))
+        head = _HEADS.get(fmt) if options.get("header", True) and options.get("sep") is None else None
+        at = _written(spark, rows, _LINES[line or fmt](), fmt, head, packed)
+        return Engine(spark).query(at, query, **({} if sniffed else {"fmt": fmt}), **options).df
+
+    return run
+
+
+def _json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{_folder(spark)}.json"
+    rows = _events(spark, sf_dir).agg(F.sort_array(F.collect_list(F.struct("*"))).alias("all"))
+    rows.select(F.concat(F.lit("[\n"), F.array_join(F.transform("all", lambda r: F.to_json(r)), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.text(at)
+    return Engine(spark).query(at, "where event_type=error sum value").df
+
+
+def _toml_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{_folder(spark)}.toml"
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("all"))
+    lines = F.concat(F.lit("[names]\n"), F.array_join(F.transform("all", lambda r: F.concat(F.lit("k"), r["n_nationkey"].cast("string"), F.lit(' = "'), r["n_name"], F.lit('"'))), "\n"))
+    rows.select(lines.alias("value")).coalesce(1).write.text(at)
+    fields = Engine(spark).query(at, "select names.k0 names.k7").frame.df.select("fields")
+    return fields.select(F.explode("fields").alias("field", "v")).select("field", F.try_variant_get("v", "$", "string").alias("name"))
+
+
+def _many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    a = _written(spark, rows.where("event_id % 3 = 0"), _LINES["ndjson"](), "ndjson")
+    b = _written(spark, rows.where("event_id % 3 = 1"), _LINES["csv"](), "csv", _HEADS["csv"])
+    c = _written(spark, rows.where("event_id % 3 = 2"), _LINES["logfmt"](), "logfmt")
+    return Engine(spark).query([a, b, c], "count by user_id").df
+
+
+def _line_query(line: Callable[[], Column], query: str, fmt: str = "ndjson") -> Callable[[SparkSession, str], DataFrame]:
+    """A query over lines made of the events that need not stem from a JSON writer."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark)
+        at = _written(spark, _events(spark, sf_dir), line(), "log")
+        return engine.query(at, query, fmt=fmt).df
+
+    return run
+
+
+def _rendered(fmt: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The first events as the renderer prints them, a row a line."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        result = Engine(spark).query(_events(spark, sf_dir), "| pick(.event_id, .event_type, .user_id) | sort_by(.event_id) | limit(20)")
+        return spark.createDataFrame(list(enumerate(result.render(fmt))), "n int, line string")
+
+    return run
+
+
+def _stream(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A row-wise plan over a stream of files, through a file sink."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        Engine(spark)
+        at, out = _written(spark, _events(spark, sf_dir), F.when(F.col("event_id") % 10 == 3, "{broken").otherwise(_LINES["ndjson"]()), "log"), _folder(spark)
+        stream = runner.transform(lang.parse(query), runner.lines(spark, at))
+        rows = stream.select(F.to_json("fields").alias("value"))
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-at").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema("value string").parquet(out)
+
+    return run
+
+
+def _command(argv: list[str], text: Callable[[list[dict]], str] | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """What the command line prints on standard output, a row a line, with the nations on standard input or in a file."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from . import cli
+
+        rows = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]
+        held, cli.session = cli.session, lambda: spark
+        out = io.StringIO()
+        try:
+            cli.main(argv, io.StringIO((text or _as_lines)(rows)), out, io.StringIO())
+        finally:
+            cli.session = held
+        return spark.createDataFrame(list(enumerate(out.getvalue().splitlines())), "n int, line string")
+
+    return run
+
+
+def _as_lines(rows: list[dict]) -> str:
+    return "".join(json.dumps(r) + "\n" for r in rows)
+
+
+def _as_csv(rows: list[dict]) -> str:
+    return "\n".join([",".join(rows[0]), *(",".join(map(str, r.values())) for r in rows)])
+
+
+def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """now+-duration against a fixed now, the last event less a day."""
+    frame = readers.parquet(spark, f"{sf_dir}/events.parquet")
+    now = frame.df.agg(F.unix_seconds(F.max("ts").cast("timestamp"))).first()[0]
+    return Engine(spark).query(frame, "where ts gte now-36h, ts lt now-12h count", now=now).df
+
+
+def _tags(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The parts with their names as arrays of words."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        words = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.split("p_name", " ").alias("words"))
+        return Engine(spark).query(words, query).df.select("p_partkey")
+
+    return run
+
+
+_KINDS = "CASE WHEN event_id % 4 = 0 THEN 'null' WHEN event_id % 4 = 1 THEN 'string' WHEN event_id % 4 = 2 THEN 'number' ELSE 'missing' END"
+
+
+def _mixed() -> Column:
+    """Lines whose field x is null, a text, a number or not there."""
+    rest = F.concat(F.lit('"event_id":'), _cell("event_id"), F.lit("}"))
+    i = F.col("event_id") % 4
+    return F.concat(F.lit("{"), F.when(i == 0, '"x":null,').when(i == 1, F.concat(F.lit('"x":" '), _cell("user_id"), F.lit('5",'))).when(i == 2, F.concat(F.lit('"x":'), _cell("user_id"), F.lit(","))).otherwise(""), rest)
+
+
+_EV = "(SELECT event_id, user_id, event_type, round(value, 4) AS value, ts FROM events)"
+_BY_USER = "SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS count FROM events WHERE event_type='error' GROUP BY 1"
+_ROUND_SUM = f"SELECT round(sum(value),6) AS sum FROM {_EV} WHERE event_type='error'"
+_QUERY, _SUM = "where event_type=error count by user_id", "where event_type=error sum value"
+_SHOWN = "(SELECT event_id, event_type, user_id FROM events ORDER BY event_id LIMIT 20)"
+
+#: name: (query, SQL)
+FORMATS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "src_ndjson": (_read("ndjson", _QUERY), _BY_USER),
+    "src_ndjson_sniffed": (_read("log", _QUERY, line="ndjson"), _BY_USER),
+    "src_json_sniffed": (_json_document, _ROUND_SUM),
+    "src_csv": (_read("csv", "where event_type glob error?? sum value"), _ROUND_SUM),
+    "src_csv_gzip": (_read("csv", "where ts gte 2024-01-15T00:00:00Z sum value", packed=True), f"SELECT round(sum(value),6) AS sum FROM {_EV} WHERE ts >= TIMESTAMP '2024-01-15'"),
+    "src_tsv": (_read("tsv", _QUERY), _BY_USER),
+    "src_headerless": (_read("csv", "sum col4", header=False), f"SELECT round(sum(value),6) AS sum FROM {_EV}"),
+    "src_separator": (_read("dat", "where col3=error count by col2", line="tsv", sep="\t", header=False), _BY_USER.replace("user_id", "col2", 1).replace("AS VARCHAR) AS user_id", "AS VARCHAR) AS col2").replace("CAST(col2", "CAST(user_id")),
+    "src_logfmt": (_read("logfmt", _SUM, sniffed=False), _ROUND_SUM),
+    "src_logfmt_sniffed": (_read("log", _QUERY, line="logfmt"), _BY_USER),
+    "src_yaml": (_read("yaml", _SUM, written=lambda df: df.where("event_id < 400")), f"SELECT round(sum(value),6) AS sum FROM {_EV} WHERE event_type='error' AND event_id < 400"),
+    "src_toml": (_toml_document, "SELECT 'names.k' || n_nationkey AS field, n_name AS name FROM nation WHERE n_nationkey IN (0, 7)"),
+    "src_text": (_read("txt", "where line contains ERROR count", line="text"), "SELECT count(*) AS count FROM events WHERE event_type='error'"),
+    "src_gzip": (_read("log", _QUERY, line="ndjson", packed=True), _BY_USER),
+    "src_many_files": (_many_files, "SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS count FROM events GROUP BY 1"),
+    "dyn_dup_keys": (_line_query(lambda: F.format_string('{"user_id":-1,"n":{"v":0,"v":%s},"user_id":%s}', _cell("event_id"), _cell("user_id")), "where n.v gte 10 count by user_id"), "SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS count FROM events WHERE event_id >= 10 GROUP BY 1"),
+    "dyn_line_separator": (_line_query(lambda: F.concat(F.lit('{"a":"x\u2028y\u0085z","user_id":'), _cell("user_id"), F.lit("}\r")), "count by user_id"), "SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS count FROM events GROUP BY 1"),
+    "dyn_types_mixed": (_line_query(_mixed, "count types x"), f"SELECT {_KINDS} AS type, count(*) AS count FROM events GROUP BY 1"),
+    "dyn_exists": (_line_query(_mixed, "where x exists count"), "SELECT count(*) AS count FROM events WHERE event_id % 4 <> 3"),
+    "dyn_not_exists": (_line_query(_mixed, "not .x exists | count()"), "SELECT count(*) AS count FROM events WHERE event_id % 4 = 3"),
+    "dyn_sum_mixed": (_line_query(_mixed, "sum x"), "SELECT CAST(sum(CASE event_id % 4 WHEN 2 THEN user_id END) AS DOUBLE) AS sum FROM events"),
+    "dyn_cast_number": (lambda s, d: Engine(s).query(_written(s, _events(s, d), _mixed(), "log"), "sum x", casts={"x": "number"}, fmt="ndjson").df, "SELECT CAST(sum(CASE event_id % 4 WHEN 2 THEN user_id END) AS DOUBLE) AS sum FROM events"),
+    "dyn_cast_auto": (lambda s, d: Engine(s).query(_written(s, _events(s, d), F.format_string('{"x":"%s"}', F.when(F.col("event_id") % 3 == 0, "true").when(F.col("event_id") % 3 == 1, _cell("value")).otherwise("N/A")), "log"), "count types x", casts={"x": "auto"}, fmt="ndjson").df, "SELECT CASE event_id % 3 WHEN 0 THEN 'bool' WHEN 1 THEN 'number' ELSE 'null' END AS type, count(*) AS count FROM events GROUP BY 1"),
+    "dyn_map_div0": (_line_query(lambda: F.format_string('{"user_id":%s,"z":%s}', _cell("user_id"), (F.col("event_id") % 2).cast("string")), "| map(.r = .user_id / .z) | sum(.r)"), "SELECT CAST(sum(user_id) FILTER (WHERE event_id % 2 = 1) AS DOUBLE) AS sum FROM events"),
+    "dyn_omit_path": (_line_query(_LINES["ndjson"], "| omit(.ts.x, .value) | group_by(.value)"), "SELECT '' AS value, count(*) AS count FROM events"),
+    "kw_now_window": (_window, "SELECT count(*) AS count FROM events WHERE epoch(ts)::BIGINT >= (SELECT floor(epoch(max(ts)))::BIGINT FROM events) - 129600 AND floor(epoch(ts))::BIGINT < (SELECT floor(epoch(max(ts)))::BIGINT FROM events) - 43200"),
+    "dsl_group_by_count": (lambda s, d: Engine(s).query(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_regionkey").alias("count")), "| group_by(.count)").df, "SELECT count(*) AS count FROM nation GROUP BY n_regionkey"),
+    "dsl_contains_element": (_tags('.words contains "WIDGET"'), "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'widget')"),
+    "dsl_length_array": (_tags(".p_partkey > 10 | map(.n = length(.words)) | pick(.p_partkey, .n)"), "SELECT p_partkey FROM part WHERE p_partkey > 10"),
+    "dsl_map_div0_kept": (lambda s, d: Engine(s).query(readers.parquet(s, f"{d}/events.parquet"), "| map(.r = .value / (.user_id - .user_id)) | pick(.event_id, .r)").df, "SELECT event_id, CAST(NULL AS DOUBLE) AS r FROM events"),
+    "cast_number_text": (lambda s, d: Engine(s).query(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "n/a").when(F.col("c_custkey") % 5 == 1, "x1").otherwise(F.concat(F.lit("+"), F.col("c_nationkey").cast("string"), F.lit("e1"))).alias("t")), "sum t", casts={"t": "number"}).df, "SELECT CAST(sum(c_nationkey * 10) AS DOUBLE) AS sum FROM customer WHERE c_custkey % 5 > 1"),
+    "snk_ndjson": (_rendered("ndjson"), f"""SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS INTEGER) AS n, '{{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}}' AS line FROM {_SHOWN}"""),
+    "snk_csv": (_rendered("csv"), f"SELECT 0 AS n, 'event_id,event_type,user_id' AS line UNION ALL SELECT CAST(row_number() OVER (ORDER BY event_id) AS INTEGER), event_id || ',' || event_type || ',' || user_id FROM {_SHOWN}"),
+    "snk_pretty": (_rendered("pretty"), f"""SELECT CAST(2 * row_number() OVER (ORDER BY event_id) - 1 AS INTEGER) AS n, '' AS line FROM {_SHOWN} QUALIFY n < 39 UNION ALL SELECT CAST(2 * row_number() OVER (ORDER BY event_id) - 2 AS INTEGER) AS n, '{{' || chr(10) || '  "event_id": ' || event_id || ',' || chr(10) || '  "event_type": "' || event_type || '",' || chr(10) || '  "user_id": ' || user_id || chr(10) || '}}' AS line FROM {_SHOWN}"""),
+    "snk_raw": (_command(["where", "n_regionkey=1", "--fmt", "raw"], lambda rows: "".join(f'  {json.dumps(r)}\n' for r in rows)), """SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS n, '{"n_nationkey": ' || n_nationkey || ', "n_name": "' || n_name || '", "n_regionkey": ' || n_regionkey || '}' AS line FROM nation WHERE n_regionkey = 1"""),
+    "cli_stdin_stream": (_command(["where", "n_nationkey", "gte", "5", "select", "n_name", "limit", "7"]), """SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS n, '{"n_name":"' || n_name || '"}' AS line FROM nation WHERE n_nationkey >= 5 QUALIFY n < 7"""),
+    "cli_stdin_batch": (_command(["count", "by", "n_regionkey", "--fmt", "csv"], _as_csv), "SELECT 0 AS n, 'n_regionkey,count' AS line UNION ALL SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, min(n_nationkey)) AS INTEGER), n_regionkey || ',' || count(*) FROM nation GROUP BY n_regionkey"),
+    "cli_expression": (_command([".n_regionkey == 2 | pick(.n_nationkey)", "-q"]), """SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS n, '{"n_nationkey":' || n_nationkey || '}' AS line FROM nation WHERE n_regionkey = 2"""),
+    "stream_filter": (_stream("where event_type=error select event_id"), """SELECT '{"event_id":' || event_id || '}' AS value FROM events WHERE event_type = 'error' AND event_id % 10 <> 3"""),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for name, e in ENTRIES.items():
@@ -158,11 +380,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             out[name] = lambda s, d: Engine(s).query(_records(s, d), "count by user_id", casts={"user_id": "bool"}).df
         else:
             out[name] = lambda s, d, text=text: Engine(s).query(_records(s, d), text).df
-    return out
+    return out | {name: run for name, (run, _) in FORMATS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: e.sql for n, e in ENTRIES.items()} | {n: sql for n, (_, sql) in RECORDS.items()}
+    return {n: e.sql for n, e in ENTRIES.items()} | {n: sql for n, (_, sql) in RECORDS.items()} | {n: sql for n, (_, sql) in FORMATS.items()}
 
 
-__all__ = ["CountByTime", "ENTRIES", "RECORDS", "oracle_sql", "queries"]
+__all__ = ["CountByTime", "ENTRIES", "FORMATS", "RECORDS", "oracle_sql", "queries"]

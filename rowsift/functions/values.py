@@ -147,9 +147,17 @@ class Typed(Value):
 
 
 class Dynamic(Value):
-    """A variant; SQL null is a missing field, variant null a null one."""
+    """A variant; SQL null is a missing field, variant null a null one.  ``tag``: its parts are columns already (see steps)."""
 
-    def __init__(self, v: Column):
+    PARTS = ("v", "schema", "kind", "string", "number", "text", "num", "epoch")
+
+    def __init__(self, v: Column | None, tag: int | None = None):
+        if tag is not None:
+            self.v, _, self.kind, self.string, self.number, self.text, self.num, self.epoch = (F.col(f"__{p}{tag}") for p in self.PARTS)
+            self.present, self.null = self.v.isNotNull(), self.kind == "null"
+            self.scalar = ~self.kind.isin("array", "object", "missing")
+            self.json = F.when(self.present, F.to_json(self.v))
+            return
         self.v = v
         self.present = v.isNotNull()
         self.null = F.coalesce(F.is_variant_null(v), F.lit(False))
@@ -168,6 +176,26 @@ class Dynamic(Value):
         self.epoch = F.coalesce(text_epoch(self.string), number_epoch(self.number))
         self.json = F.when(v.isNotNull(), F.to_json(v))
 
+    @classmethod
+    def steps(cls, of: dict[int, Column]) -> list[dict[str, Column]]:
+        """Columns to be added one step after another, each using those before, so that every part is worked out once a row."""
+        out: list[dict[str, Column]] = [{} for _ in range(5)]
+        for tag, variant in of.items():
+            v, schema, kind, string, number, *_ = (F.col(f"__{p}{tag}") for p in cls.PARTS)
+            whole = F.col(f"__whole{tag}")
+            out[0][f"__v{tag}"] = variant
+            out[1][f"__schema{tag}"] = F.schema_of_variant(v)
+            out[2][f"__kind{tag}"] = F.when(v.isNull(), "missing").when(schema == "VOID", "null").when(schema == "STRING", "string").when(schema == "BOOLEAN", "bool").when(schema.startswith("ARRAY"), "array").when(schema.startswith("OBJECT"), "object").otherwise("number")
+            out[3][f"__string{tag}"] = F.when(kind == "string", F.try_variant_get(v, "$", "string"))
+            out[3][f"__number{tag}"] = F.when(kind == "number", F.try_variant_get(v, "$", "double"))
+            out[3][f"__whole{tag}"] = F.when((schema == "BIGINT") | schema.startswith("DECIMAL"), F.try_variant_get(v, "$", "bigint"))
+            exact = F.when((schema == "BIGINT") | (whole.cast("double") == number), whole.cast("string"))
+            shown = F.when(kind == "number", F.coalesce(exact, number_text(number))).when(kind == "string", string).when(kind == "null", "null").when(kind == "bool", F.try_variant_get(v, "$", "boolean").cast("string"))
+            out[4][f"__text{tag}"] = F.when(kind != "missing", F.coalesce(shown, F.to_json(v)))
+            out[4][f"__num{tag}"] = F.coalesce(number, text_number(string))
+            out[4][f"__epoch{tag}"] = F.coalesce(text_epoch(string), number_epoch(number))
+        return out
+
     def has_element(self, needle: str, case_sensitive: bool) -> Column:
         items = F.try_variant_get(self.v, "$", "array<variant>")
         return F.coalesce(F.exists(items, lambda x: _same(Dynamic(x).text, needle, case_sensitive)), F.lit(False))

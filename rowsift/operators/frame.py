@@ -21,6 +21,8 @@ class Frame:
 
     ``missing``: typed columns whose nulls stand for an absent field.  ``order``: the current order of the rows, as sort columns;
     empty until it is asked for.  ``position``: where a row stands in its files, to be read right above the scan.
+    ``doc``: column of a dynamic frame with the whole record as one variant, while ``fields`` is as it was read; paths are read from it.
+    ``ready``: paths whose parts are columns already, by tag; they hold as long as ``doc`` does.
     """
 
     df: DataFrame
@@ -29,6 +31,8 @@ class Frame:
     order: tuple[Column, ...] = ()
     warnings: tuple = field(default=())
     position: Column | None = None
+    doc: str | None = None
+    ready: dict[str, int] = field(default_factory=dict)
 
     @property
     def names(self) -> list[str]:
@@ -44,15 +48,34 @@ class Frame:
         df = self.df if "_ord" in self.df.columns else self.df.withColumn("_ord", F.monotonically_increasing_id() if self.position is None else self.position)
         return replace(self, df=df, order=(F.col("_ord").asc(),), position=None)
 
+    def made_ready(self, paths: list[str]) -> Frame:
+        """The frame with the parts of the values at these paths as columns, each worked out once a row.
+
+        The random column keeps filters above from being moved below, where they would work the parts out again.
+        """
+        if not self.doc or not paths:
+            return self
+        df, ready = self.df, {p: i for i, p in enumerate(paths)}
+        for cols in Dynamic.steps({i: self.variant(p) for p, i in ready.items()}):
+            df = df.select("*", *(c.alias(name) for name, c in cols.items()))
+        return replace(self, df=df.withColumn("__once", F.rand(0)), ready=ready)
+
     def variant(self, path: str) -> Column:
         head, *rest = path.split(".")
+        if self.doc and "'" not in path:
+            whole = F.col(self.doc)
+            v = F.try_variant_get(whole, "$" + "".join(f"['{p}']" for p in (head, *rest)), "variant")
+            if head != "value":
+                return v
+            inner = F.try_variant_get(whole, "$" + "".join(f"['{p}']" for p in rest), "variant") if rest else whole
+            return F.when(F.schema_of_variant(whole).startswith("OBJECT"), v).otherwise(inner)  # a value that is no object
         v = F.try_element_at(F.col(FIELDS), F.lit(head))
         return F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in rest), "variant") if rest else v
 
     def value(self, path: str) -> Value:
         """The value at a path; a path beyond the known columns is missing everywhere."""
         if self.dynamic:
-            return Dynamic(self.variant(path))
+            return Dynamic(None, self.ready[path]) if self.doc and path in self.ready else Dynamic(self.variant(path))
         head, *rest = path.split(".")
         types = {f.name: f.dataType for f in self.df.schema.fields}
         if path in types and path in self.names and "." in path:  # the output of a grouping by a nested path

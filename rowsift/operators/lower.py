@@ -22,16 +22,31 @@ def lower(plan: N.Plan, frame: Frame, strict: bool = False) -> Frame:
     """The plan over a frame.  ``strict``: projections and rewrites see literal top-level names only, not nested paths."""
     if needs_order(plan):
         frame = frame.ordered()
+    frame = frame.made_ready(list(dict.fromkeys(p for node in plan.nodes for p in _named(node))))
     for node in plan.nodes:
         frame = _LOWER[type(node)](node, frame, plan, strict)
     return frame
 
 
+def _named(node) -> list[str]:
+    """Paths whose values a node reads."""
+    if isinstance(node, N.Filter):
+        return _named(node.predicate)
+    if isinstance(node, (N.And, N.Or)):
+        return _named(node.left) + _named(node.right)
+    if isinstance(node, N.Not):
+        return _named(node.inner)
+    if isinstance(node, N.CountBy):
+        return list(node.paths)
+    return [node.path] if isinstance(node, (N.KeywordTest, N.ExpressionTest, N.Exists, N.Sort, N.Dedup, N.CountByTime, N.CountUnique, N.TypeCount, N.Stat, N.TimeAttr)) else []
+
+
 # ── Rows ──
 
 
 def _filter(n: N.Filter, f: Frame, plan: N.Plan, strict: bool) -> Frame:
-    return f.with_df(f.df.where(predicate(n.predicate, f.value, plan.case_sensitive)))
+    test = predicate(n.predicate, f.value, plan.case_sensitive)
+    return f.with_df(f.df.where(test & (F.col("__once") >= 0) if f.doc and f.ready else test))
 
 
 def _hidden(f: Frame) -> list[str]:
@@ -42,7 +57,7 @@ def _project(n: N.Project, f: Frame, plan: N.Plan, strict: bool) -> Frame:
     if f.dynamic:
         found = [F.struct(F.lit(p).alias("key"), (F.try_element_at(F.col(FIELDS), F.lit(p)) if strict else f.variant(p)).alias("value")) for p in n.paths]
         fields = F.map_from_entries(F.filter(F.array(*found), lambda e: e["value"].isNotNull()))
-        return f.with_df(f.df.withColumn(FIELDS, fields))
+        return f.with_df(f.df.withColumn(FIELDS, fields), doc=None)
     cols, missing = [], set()
     for p in n.paths:
         v = f.value(p)
@@ -58,12 +73,8 @@ def _project(n: N.Project, f: Frame, plan: N.Plan, strict: bool) -> Frame:
 
 def _omit(n: N.Omit, f: Frame, plan: N.Plan, strict: bool) -> Frame:
     if f.dynamic:
-        gone = [p for p in n.paths if strict or "." not in p]
-        nested = [p for p in n.paths if p not in gone]
-        fields = F.map_filter(F.col(FIELDS), lambda k, v: ~k.isin(gone)) if gone else F.col(FIELDS)
-        if nested:
-            raise QueryError(f"omit of the nested path '.{nested[0]}' is not supported for records without a schema")
-        return f.with_df(f.df.withColumn(FIELDS, fields))
+        gone = list(n.paths)  # a field is a name of the record; a path into one takes nothing away
+        return f.with_df(f.df.withColumn(FIELDS, F.map_filter(F.col(FIELDS), lambda k, v: ~k.isin(gone))), doc=None)
     df = f.df
     for p in n.paths:
         if p in f.names:
@@ -79,7 +90,7 @@ def _put(f: Frame, name: str, c: Column, keep_old: bool) -> Frame:
     if f.dynamic:
         rest = F.map_filter(F.col(FIELDS), lambda k, v: k != name)
         put = F.map_concat(rest, F.create_map(F.lit(name), c))
-        return f.with_df(f.df.withColumn(FIELDS, F.when(c.isNull(), F.col(FIELDS) if keep_old else rest).otherwise(put)))
+        return f.with_df(f.df.withColumn(FIELDS, F.when(c.isNull(), F.col(FIELDS) if keep_old else rest).otherwise(put)), doc=None)
     return f.with_df(f.df.withColumn(name, c), missing=f.missing | {name})
 
 
@@ -309,33 +320,29 @@ def _count_all(n: N.CountAll, f: Frame, plan: N.Plan, strict: bool) -> Frame:
 
 
 def _count_by(n: N.CountBy, f: Frame, plan: N.Plan, strict: bool) -> Frame:
-    if "count" in n.paths:
-        raise QueryError("a group field may not be called 'count'", hint="rename it with map or cast the other column")
     f = f.ordered()
     keys, texts = [], []
     for i, p in enumerate(n.paths):
         v, name = f.value(p), f"__g{i}"
-        native = isinstance(v, Typed) and v.static in ("long", "bool", "string") and not v.null_is_missing
-        keys.append((v.c if native else F.coalesce(v.text, F.lit(""))).alias(name))
+        native = isinstance(v, Typed) and v.static in ("long", "bool") and not v.null_is_missing
+        plain = isinstance(v, Typed) and v.static == "string" and not v.null_is_missing
+        keys.append((v.c if native else F.coalesce(v.c, F.lit("null")) if plain else F.coalesce(v.text, F.lit(""))).alias(name))
         text = F.coalesce(F.col(name).cast("string"), F.lit("null")) if native else F.col(name)
         texts.append((text, p))
     first = _ordinal(f)
-    grouped = f.df.select(*keys, *([first.alias("__first")] if first is not None else [])).groupBy(*(f"__g{i}" for i in range(len(keys))))
-    aggs = [F.count(F.lit(1)).alias("count")] + ([F.min("__first").alias("_ord")] if first is not None else [])
-    df = grouped.agg(*aggs)
-    merged = [t.alias(p) for t, p in texts]
-    df = df.select(*merged, "count", *(["_ord"] if first is not None else []))
-    df = df.groupBy(*(F.col(f"`{p}`") for p in n.paths)).agg(F.sum("count").alias("count"), F.min("_ord").alias("_ord")) if _may_merge(f, n.paths) else df
-    return Frame(df, order=(F.col("count").desc(), F.col("_ord").asc()))
-
-
-def _may_merge(f: Frame, paths: tuple[str, ...]) -> bool:
-    """Whether a null and the text 'null' of one string column meet in a group."""
-    return any(isinstance(v, Typed) and v.static == "string" and not v.null_is_missing for v in map(f.value, paths))
+    grouped = f.df.select(*keys, first.alias("__first")).groupBy(*(f"__g{i}" for i in range(len(keys))))
+    df = grouped.agg(F.count(F.lit(1)).alias("count"), F.min("__first").alias("_ord"))
+    shown = {p: t.alias(p) for t, p in texts if p != "count"}  # the count takes the place of a field of its name
+    return Frame(df.select(*shown.values(), "count", "_ord"), order=(F.col("count").desc(), F.col("_ord").asc()))
 
 
 def _ordinal(f: Frame) -> Column:
-    return F.col("_ord")
+    """The order of the input as one number where it can be, so that its minimum is kept in a hash table."""
+    kind = dict(f.df.dtypes)["_ord"]
+    if not kind.startswith("struct<file:int,block:bigint,row:bigint"):
+        return F.col("_ord")
+    part = lambda c, scale: F.col(f"_ord.{c}").cast("decimal(38,0)") * F.lit(str(scale)).cast("decimal(38,0)")
+    return (part("file", 10**28) + part("block", 10**11) + F.col("_ord.row").bitwiseAND((1 << 33) - 1)).cast("decimal(38,0)")
 
 
 def _count_by_time(n: N.CountByTime, f: Frame, plan: N.Plan, strict: bool) -> Frame:
@@ -359,7 +366,7 @@ def _count_unique(n: N.CountUnique, f: Frame, plan: N.Plan, strict: bool) -> Fra
 
 def _type_count(n: N.TypeCount, f: Frame, plan: N.Plan, strict: bool) -> Frame:
     f = f.ordered()
-    df = f.df.select(f.value(n.path).kind.alias("type"), F.col("_ord")).groupBy("type").agg(F.count(F.lit(1)).alias("count"), F.min("_ord").alias("_ord"))
+    df = f.df.select(f.value(n.path).kind.alias("type"), _ordinal(f).alias("_ord")).groupBy("type").agg(F.count(F.lit(1)).alias("count"), F.min("_ord").alias("_ord"))
     return Frame(df, order=(F.col("count").desc(), F.col("_ord").asc()))
 
 

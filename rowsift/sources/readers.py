@@ -1,7 +1,7 @@
 """Readers: paths to frames.
 
-Line formats are read as text splits, so large files are parsed in parallel; documents (JSON, YAML, TOML) are
-read whole, one file a task.  Parquet and DataFrames keep their types.
+Line formats and tables of cells are read as splits, so large files are parsed in parallel; documents (JSON, YAML, TOML), and
+tables with line feeds inside of cells, are read whole, one file a task.  Parquet and DataFrames keep their types.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 import csv as _csv
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 from functools import reduce
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,7 @@ from .detect import HEAD, sniff
 from .parse import WHOLE, json_text, logfmt
 
 DYNAMIC = "map<string,variant>"
+DOC = "__doc"
 
 
 def from_dataframe(df: DataFrame) -> Frame:
@@ -31,39 +34,83 @@ def from_dataframe(df: DataFrame) -> Frame:
     return Frame(df, dynamic=kinds.get("fields") == DYNAMIC)
 
 
+#: Files whose places in the order of the input are told by a literal map.
+NUMBERED_FILES = 256
+
+
 def parquet(spark: SparkSession, *paths: str) -> Frame:
-    """Typed frame in file order: by path, then by row; row numbers are read only if the order matters."""
-    return Frame(spark.read.parquet(*paths), position=F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    """Typed frame in file order: by path, then by row; row numbers are read only if the order matters.
+
+    A position is one number, place of the file << 40 | row, so that it aggregates in hash tables; with very many files it is the pair.
+    """
+    df = spark.read.parquet(*paths)
+    files = sorted(df.inputFiles())
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    if len(files) == 1:
+        return Frame(df, position=row)
+    if len(files) > NUMBERED_FILES:
+        return Frame(df, position=F.struct(path, row))
+    place = F.create_map(*(x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i).cast("long"))))
+    return Frame(df, position=F.shiftleft(F.try_element_at(place, path), 40).bitwiseOR(row))
 
 
 def records(fields: Column, raw: Column) -> list[Column]:
     return [fields.alias("fields"), raw.alias("_raw")]
 
 
-def ndjson_columns(line: Column) -> tuple[Column, Column]:
-    """(fields, corrupt) of a line; a value that is no object becomes ``{"value": v}``."""
-    value = F.try_parse_json(line)
+def ndjson_columns(line: Column, doc: Column | None = None) -> tuple[Column, Column]:
+    """(fields, corrupt) of a line, and of the line parsed if that is at hand; a value that is no object becomes ``{"value": v}``."""
+    value = F.try_parse_json(line) if doc is None else doc
     fields = F.from_json(line, DYNAMIC)
     fields = F.when(F.schema_of_variant(value).startswith("OBJECT"), fields).otherwise(F.create_map(F.lit("value"), value))
     return fields, value.isNull()
 
 
 def _lines(spark: SparkSession, path: str, file_index: int) -> DataFrame:
-    """(value, _ord, _src_file) of a text file; blank lines are still there."""
-    lines = spark.read.text(path)
+    """(value, _ord, _src_file) of a text file, cut at line feeds alone; blank lines are still there."""
+    lines = spark.read.option("lineSep", "\n").text(path)
     order = F.struct(F.lit(file_index).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return lines.select("value", order.alias("_ord"), F.lit(path).alias("_src_file"))
+    return lines.select(_bare(F.validate_utf8("value")).alias("value"), order.alias("_ord"), F.lit(path).alias("_src_file"))
+
 
+def _bare(line: Column) -> Column:
+    """A line without the carriage return at its end."""
+    return F.when(line.endswith("\r"), line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)
 
-def _head(path: str) -> bytes:
-    """First bytes of a local file, or of the first file of a folder; unpacked if gzip."""
-    from pathlib import Path
 
-    p = Path(path.removeprefix("file:"))
-    if p.is_dir():
-        p = next(iter(sorted(x for x in p.iterdir() if x.is_file() and x.name[0] not in "._")), p)
-    with p.open("rb") as f:
-        return f.read(HEAD)
+def split_lines(text: str) -> list[str]:
+    """Lines of a text, cut at line feeds alone."""
+    lines = [x.removesuffix("\r") for x in text.split("\n")]
+    return lines[:-1] if lines[-1] == "" else lines
+
+
+BLANKS = " \t\r\n\f\x0b"
+
+
+def _head(spark: SparkSession, path: str, n: int = HEAD) -> bytes:
+    """First bytes of a file, or of the first file of a folder, wherever Hadoop's file systems find it."""
+    if "://" not in path:
+        p = Path(path.removeprefix("file:"))
+        if p.is_dir():
+            p = next(iter(sorted(x for x in p.iterdir() if x.is_file() and x.name[0] not in "._")), p)
+        with p.open("rb") as f:
+            return f.read(n)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        inside = sorted((f.getPath().toString(), f.getPath()) for f in fs.listStatus(at) if f.isFile() and f.getPath().getName()[0] not in "._")
+        at = inside[0][1] if inside else at
+    stream = fs.open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
+    finally:
+        stream.close()
+
+
+def _unpacked(head: bytes) -> bytes:
+    """What the first bytes of a gzip file unpack to."""
+    return zlib.decompressobj(31).decompress(head) if head[:2] == b"\x1f\x8b" else head
 
 
 def _content(data: bytes, path: str) -> str:
@@ -79,17 +126,18 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, header: bool =
     """One file or folder as a frame; the format is sniffed unless it is given, and ``sep`` forces CSV."""
     if sep is not None and (len(sep) != 1 or not sep.isascii()):
         raise FormatError(f"the separator must be one ASCII character, got {sep!r}")
-    head = _head(path) if fmt is None or fmt == "gzip" else b""
+    head = _head(spark, path) if fmt is None or fmt == "gzip" else b""
     fmt = fmt or sniff(head, path)
     packed = fmt == "gzip"
     if packed:
-        with gzip.open(path.removeprefix("file:"), "rb") as f:
-            fmt = sniff(f.read(HEAD), path[:-3] if path.endswith(".gz") else None)
+        fmt = sniff(_unpacked(_head(spark, path, 1 << 16))[:HEAD], path[:-3] if path.endswith(".gz") else None)
     if sep is not None:
         fmt = "csv"
     if fmt == "parquet":
         return parquet(spark, path)
     named = not packed or path.endswith(".gz")  # Spark unpacks by the ending only
+    if fmt in ("csv", "tsv") and named and (cells := _split_cells(spark, path, header, sep or ("\t" if fmt == "tsv" else ","), file_index)):
+        return cells
     if fmt in WHOLE or fmt in ("csv", "tsv") or not named:
         return _whole(spark, path, fmt, header, sep or ("\t" if fmt == "tsv" else ","), file_index)
     lines = _lines(spark, path, file_index)
@@ -97,23 +145,40 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, header: bool =
         rows = lines.where("value != ''")
         out = rows.select(F.create_map(F.lit("line"), F.col("value").cast("variant")).alias("fields"), F.col("value").alias("_raw"), "_ord", "_src_file")
         return Frame(out, dynamic=True, order=(F.col("_ord").asc(),))
-    rows = lines.withColumn("value", F.trim("value")).where("value != ''")
+    rows = lines.withColumn("value", F.btrim("value", F.lit(BLANKS))).where("value != ''")
     return _parsed(rows, fmt)
 
 
 def _parsed(rows: DataFrame, fmt: str) -> Frame:
     if fmt == "logfmt":
-        made = rows.withColumn("__json", _logfmt(F.col("value")))
-        fields = F.from_json("__json", DYNAMIC)
-        return Frame(made.select(fields.alias("fields"), F.col("value").alias("_raw"), "_ord", "_src_file"), dynamic=True, order=(F.col("_ord").asc(),))
-    fields, corrupt = ndjson_columns(F.col("value"))
-    marked = rows.withColumn("__corrupt", corrupt)
-    good = marked.where("not __corrupt").select(fields.alias("fields"), F.col("value").alias("_raw"), "_ord", "_src_file")
-    return Frame(good, dynamic=True, order=(F.col("_ord").asc(),), warnings=((marked.where("__corrupt").select("value", "_src_file"), "corrupt line skipped"),))
+        return Frame(rows.select(_logfmt(F.col("value")).alias("fields"), F.col("value").alias("_raw"), "_ord", "_src_file"), dynamic=True, order=(F.col("_ord").asc(),))
+    # each line is parsed once, below whatever a query asks of it: the random column keeps filters from being moved below the parsing
+    marked = rows.select("*", F.try_parse_json("value").alias(DOC), F.rand(0).alias("__once"))
+    good, bad = marked.where(F.col(DOC).isNotNull() & (F.col("__once") >= 0)), marked.where(F.col(DOC).isNull())
+    fields, _ = ndjson_columns(F.col("value"), F.col(DOC))
+    good = good.select(fields.alias("fields"), F.col("value").alias("_raw"), "_ord", "_src_file", DOC)
+    return Frame(good, dynamic=True, order=(F.col("_ord").asc(),), warnings=((bad.select("value", "_src_file"), "corrupt line skipped"),), doc=DOC)
+
+
+#: A line all of whose words are key=value without quotes.
+_REGULAR = r"^\s*+(?:[^\s=]++=(?:[^\s\"]\S*+)?+(?:\s++|$))++$"
 
 
 def _logfmt(line: Column) -> Column:
-    return F.pandas_udf(lambda lines: lines.map(lambda x: json_text(logfmt(x))), "string")(line)
+    """Fields of a line; lines with quotes, keys of several words or repeated keys are left to the parser."""
+    words = F.split(F.btrim(line, F.lit(BLANKS)), r"\s+")
+    keys = F.transform(words, lambda w: F.substring_index(w, "=", 1))
+    regular = line.rlike(_REGULAR) & (F.size(F.array_distinct(keys)) == F.size(keys))
+    values = F.transform(words, lambda w: w.substr(F.length(F.substring_index(w, "=", 1)) + 2, F.length(w)).cast("variant"))
+
+    def parse(lines: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(lines), index=lines.index, dtype=object)
+        rest = lines.notna()
+        out[rest] = lines[rest].map(lambda x: json_text(logfmt(x)))
+        return out
+
+    parsed = F.from_json(F.pandas_udf(parse, "string")(F.when(~regular, line)), DYNAMIC)
+    return F.when(regular, F.map_from_arrays(keys, values)).otherwise(parsed)
 
 
 def _whole(spark: SparkSession, path: str, fmt: str, header: bool, sep: str, file_index: int) -> Frame:
@@ -129,11 +194,11 @@ def _whole(spark: SparkSession, path: str, fmt: str, header: bool, sep: str, fil
                 if fmt in WHOLE:
                     rows = [(json_text(r), json_text(r)) for r in WHOLE[fmt](text)]
                 elif fmt == "logfmt":
-                    rows = [(json_text(logfmt(x)), x.strip()) for x in text.splitlines() if x.strip()]
+                    rows = [(json_text(logfmt(x)), x.strip()) for x in split_lines(text) if x.strip()]
                 elif fmt == "text":
-                    rows = [(json_text({"line": x}), x) for x in text.splitlines() if x]
+                    rows = [(json_text({"line": x}), x) for x in split_lines(text) if x]
                 else:
-                    rows = [(x.strip(), x.strip()) for x in text.splitlines() if x.strip()]
+                    rows = [(x.strip(BLANKS), x.strip(BLANKS)) for x in split_lines(text) if x.strip(BLANKS)]
                 yield pd.DataFrame({"json": [j for j, _ in rows], "_raw": [r for _, r in rows], "row": range(len(rows)), "_src_file": name})
 
     rows = files.mapInPandas(run, "json string, _raw string, row long, _src_file string")
@@ -144,6 +209,32 @@ def _whole(spark: SparkSession, path: str, fmt: str, header: bool, sep: str, fil
     return Frame(rows.select(F.from_json("json", DYNAMIC).alias("fields"), "_raw", "_ord", "_src_file"), dynamic=True, order=(F.col("_ord").asc(),))
 
 
+def _split_cells(spark: SparkSession, path: str, header: bool, sep: str, file_index: int) -> Frame | None:
+    """CSV read in splits, if it is one file whose cells hold no line feed; else None."""
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) != 1:
+        return None
+    first = next((x for x in _unpacked(_head(spark, path, 1 << 16)).split(b"\n")[:-1] if x.strip()), None)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    flags = lines.agg(F.bool_or(odd), F.bool_or(~F.is_valid_utf8("value"))).first()
+    if flags[1]:
+        raise FormatError(f"{path}: not valid UTF-8")
+    if first is None or flags[0]:
+        return None
+    cells = next(_csv.reader([first.decode("utf-8").removeprefix("\ufeff").removesuffix("\r")], delimiter=sep, strict=True))
+    names = [c.strip() for c in cells] if header else [f"col{i + 1}" for i in range(len(cells))]
+    schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", __bad string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad", "sep": sep, "header": header, "quote": '"', "escape": '"', "columnPruning": False, "maxColumns": max(20480, 2 * len(names))}
+    rows = spark.read.schema(schema).options(**options).csv(path)
+    wrong = F.raise_error(F.concat(F.lit(f"{path}: a row has too many or too few cells, expected {len(names)}: "), F.col("__bad"))).cast("boolean")
+    rows = rows.select("*", F.struct(F.lit(file_index).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_ord"))
+    rows = rows.where(F.when(F.col("__bad").isNotNull(), wrong).otherwise(F.coalesce("c0", F.lit("")) >= ""))  # a query may not ask for the broken rows alone
+    text = [F.coalesce(f"c{i}", F.lit("")) for i in range(len(names))]
+    last = {name: i for i, name in enumerate(names)}  # of columns with one name the last counts, at the place of the first
+    fields = F.map_from_arrays(F.array(*(F.lit(n) for n in last)), F.array(*(auto_coerce(text[i], trimmed=True) for i in last.values())))
+    return Frame(rows.select(fields.alias("fields"), F.concat_ws(",", *(text[i] for i in last.values())).alias("_raw"), "_ord", F.lit(path).alias("_src_file")), dynamic=True, order=(F.col("_ord").asc(),))
+
+
 def _cells(spark: SparkSession, path: str, header: bool, sep: str, file_index: int) -> Frame:
     """CSV: cells are texts turned into null, bool, integer, number or trimmed text one by one; ragged rows are an error."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -185,7 +276,7 @@ def text_frame(spark: SparkSession, text: str, fmt: str | None = None, header: b
         lines = [json_text(r) for r in WHOLE[fmt](text)]
         fmt = "ndjson"
     else:
-        lines = [x if fmt == "text" else x.strip() for x in text.splitlines()]
+        lines = [x if fmt == "text" else x.strip(BLANKS) for x in split_lines(text)]
     rows = spark.createDataFrame([(x, i, "") for i, x in enumerate(lines) if x], "value string, _ord long, _src_file string")
     if fmt == "text":
         return Frame(rows.select(F.create_map(F.lit("line"), F.col("value").cast("variant")).alias("fields"), F.col("value").alias("_raw"), "_ord", "_src_file"), dynamic=True, order=(F.col("_ord").asc(),))
@@ -215,7 +306,7 @@ def concat(frames: list[Frame]) -> Frame:
         names = [set(f.names) for f in frames]
         missing = frozenset().union(*(f.missing for f in frames), *(set().union(*names) - n for n in names))
         return Frame(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs), missing=missing, order=(F.col("_ord.file"), F.col("_ord.row")))
-    dfs = []
+    dfs, whole = [], all(f.doc for f in frames)
     for i, f in enumerate(frames):
         d = to_dynamic(f.ordered())
         row = F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("row"))
@@ -223,6 +314,6 @@ def concat(frames: list[Frame]) -> Frame:
             row = F.struct(F.lit(i).alias("file"), F.col("_ord.block").alias("block"), F.col("_ord.row").alias("row"))
         else:
             row = F.struct(F.lit(i).alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("row"))
-        extra = [c if c in d.df.columns else F.lit(None).cast("string").alias(c) for c in ("_raw", "_src_file")]
+        extra = [c if c in d.df.columns else F.lit(None).cast("string").alias(c) for c in ("_raw", "_src_file")] + ([DOC] if whole else [])
         dfs.append(d.df.select("fields", *extra, row.alias("_ord")))
-    return Frame(reduce(DataFrame.unionByName, dfs), dynamic=True, order=(F.col("_ord").asc(),), warnings=tuple(w for f in frames for w in f.warnings))
+    return Frame(reduce(DataFrame.unionByName, dfs), dynamic=True, order=(F.col("_ord").asc(),), warnings=tuple(w for f in frames for w in f.warnings), doc=DOC if whole else None)

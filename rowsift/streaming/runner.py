@@ -14,17 +14,17 @@ from ..operators.frame import Frame
 from ..operators.lower import lower
 from ..plans.nodes import CountByTime, Dedup, Limit, Plan
 from ..plans.normalize import is_streamable
-from ..sources.readers import ndjson_columns
+from ..sources.readers import BLANKS, ndjson_columns
 
 
 def lines(spark: SparkSession, path: str, **options) -> DataFrame:
     """A folder of text files that grows."""
-    return spark.readStream.options(**options).text(path)
+    return spark.readStream.options(lineSep="\n", **options).text(path)
 
 
 def frame_of(stream: DataFrame) -> Frame:
     """Records of a stream with a text column ``value``; corrupt and blank lines are left out."""
-    rows = stream.select(F.trim("value").alias("value")).where("value != ''")
+    rows = stream.select(F.btrim("value", F.lit(BLANKS)).alias("value")).where("value != ''")
     fields, corrupt = ndjson_columns(F.col("value"))
     return Frame(rows.where(~corrupt).select(fields.alias("fields"), F.col("value").alias("_raw")), dynamic=True)
 
