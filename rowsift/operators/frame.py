@@ -53,12 +53,13 @@ class Frame:
 
         The random column keeps filters above from being moved below, where they would work the parts out again.
         """
+        paths = [p for p in paths if p not in self.ready]
         if not self.doc or not paths:
             return self
-        df, ready = self.df, {p: i for i, p in enumerate(paths)}
-        for cols in Dynamic.steps({i: self.variant(p) for p, i in ready.items()}):
+        df, new = self.df, {p: i for i, p in enumerate(paths, len(self.ready))}
+        for cols in Dynamic.steps({i: self.variant(p) for p, i in new.items()}):
             df = df.select("*", *(c.alias(name) for name, c in cols.items()))
-        return replace(self, df=df.withColumn("__once", F.rand(0)), ready=ready)
+        return replace(self, df=df.withColumn("__once", F.rand(0)), ready=self.ready | new)
 
     def variant(self, path: str) -> Column:
         head, *rest = path.split(".")

@@ -7,9 +7,11 @@ import json
 import shutil
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rowsift import cli, config
@@ -102,6 +104,87 @@ def test_sniff(head, name, kind):
     assert sniff(head, name) == kind
 
 
+def test_lines_are_cut_at_line_feeds_alone_and_the_last_of_repeated_keys_counts(spark, tmp_path, monkeypatch):
+    said = ['{"a":1,"a":2,"n":{"x":1,"x":3}}', '{"a":"u\u2028v\u0085w"}\r', "5"]
+    want = [{"a": 2, "n": {"x": 3}}, {"a": "u\u2028v\u0085w"}, {"value": 5}]
+    (tmp_path / "x.log").write_text("\n".join(said), newline="")
+    (tmp_path / "packed.log").write_bytes(gzip.compress("\n".join(said).encode()))
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    engine = Engine(spark)
+    for name in ("x.log", "packed.log"):
+        result = engine.query(f"{tmp_path}/{name}", "where nosuch!=1")
+        assert list(result.records()) == want and result.warnings == []
+    assert [json.loads(x) for x in run(["where", "nosuch!=1"], "\n".join(said))[1].split("\n")[:-1]] == want
+    assert list(engine.query(f"{tmp_path}/x.log", "where n.x=3 count").records()) == [{"count": 1}]
+    (tmp_path / "x.txt").write_text("one\u2028line\r\n\ntwo", newline="")
+    assert list(engine.query(f"{tmp_path}/x.txt", "where nosuch!=1").records()) == [{"line": "one\u2028line"}, {"line": "two"}]
+    (tmp_path / "bad.log").write_bytes(b'{"a":1}\n{"a":"\xff"}\n')
+    with pytest.raises(Exception, match="(?i)utf-?8"):
+        list(engine.query(f"{tmp_path}/bad.log", "where nosuch!=1").records())
+
+
+def test_cells_are_read_in_splits_unless_they_hold_line_feeds(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k, v ,k\n"a ""q"", b",1,x\n\n,2.50,"y"\n')
+    (tmp_path / "b.csv").write_text('k,v\n"two\nlines",1\n')
+    engine = Engine(spark)
+    split = engine.query(f"{tmp_path}/a.csv", "where nosuch!=1")
+    assert list(split.records()) == [{"k": "x", "v": 1}, {"k": "y", "v": 2.5}] and "csv" in split.df._jdf.queryExecution().optimizedPlan().toString()
+    assert list(engine.query(f"{tmp_path}/b.csv", "where nosuch!=1").records()) == [{"k": "two\nlines", "v": 1}]
+    for broken in ("a,b\n1,2,3\n", "a,b\n1\n"):
+        (tmp_path / "c.csv").write_text(broken)
+        for text in ("count", "where a=1"):
+            with pytest.raises(Exception, match="cells, expected 2"):
+                list(engine.query(f"{tmp_path}/c.csv", text).records())
+
+
+@pytest.mark.parametrize("line", ["a=1 b=x=y c=", "a=1 a=2", 'a="q z" b=1', "two words=1 b=2", "  a=1\tb=2  ", 'a=x"y', 'm="\\"" n=é'])
+def test_logfmt_lines_are_those_of_the_parser(spark, line):
+    df = spark.createDataFrame([(line,)], "value string")
+    Engine(spark)
+    assert json.loads(df.select(F.to_json(readers._logfmt(F.col("value")))).first()[0]) == logfmt(line)
+
+
+def test_paths_with_a_scheme_are_sniffed(spark, folder):
+    for name in ("a.log", "packed.log", "a.csv.gz"):
+        assert list(Engine(spark).query(f"file://{folder}/{name}", "where level=error count by service").records())[0] == {"service": "web", "count": 1}
+
+
+def test_groups_are_counted_in_hash_tables(spark, folder):
+    typed = readers.parquet(spark, "/root/testdata/sf0.001/lineitem.parquet")
+    two = readers.parquet(spark, "/root/testdata/sf0.001/lineitem.parquet", "/root/testdata/sf0.001/orders.parquet")
+    for frame, text in ((typed, "count by l_returnflag l_linestatus"), (typed, "count types l_quantity"), (two, "count by l_returnflag"), (f"{folder}/a.ndjson", "count by service"), (f"{folder}/a.ndjson", "count types latency")):
+        plan = Engine(spark).query(frame, text).df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2 and plan.count("Exchange hashpartitioning") == 1, text
+
+
+def test_a_record_is_parsed_once(spark, folder):
+    plan = Engine(spark).query(f"{folder}/a.ndjson", "where level=error and latency gt 5 count by service").df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") == 1 and "from_json" not in plan
+
+
+def test_live_lines_are_shown_before_more_come(spark, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    asked, out = [], io.StringIO()
+
+    class Slow:
+        """Standard input whose second line is asked for only when the first has been answered, or much later."""
+
+        def __iter__(self):
+            yield '{"a":1}\n'
+            for _ in range(300):
+                if out.getvalue():
+                    break
+                time.sleep(0.1)
+            asked.append(out.getvalue())
+            yield '{"a":2}\n'
+
+    cli.main(["where", "a", "gt", "0"], iter(Slow()), out, io.StringIO())
+    assert asked == ['{"a":1}\n'] and out.getvalue() == '{"a":1}\n{"a":2}\n'
+    monkeypatch.setattr(config, "load", lambda path=None: config.Settings(default_limit=3))
+    code, text, err = run(["where", "latency", "gte", "0"], FILES["a.log"], terminal=True)
+    assert len(text.splitlines()) == 3 and "--all" in err
+
+
 def test_renderers():
     rows = [{"a": 1, "b": "x,y"}, {"a": None, "c": {"d": [1]}}]
     assert list(render.ndjson(rows)) == ['{"a":1,"b":"x,y"}', '{"a":null,"c":{"d":[1]}}']
