@@ -58,6 +58,11 @@ def records(fields: Column, raw: Column) -> list[Column]:
     return [fields.alias("fields"), raw.alias("_raw")]
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """The rows, with the random column that keeps filters above from being moved below, where they would work the fields out again and again."""
+    return df.withColumn("__once", F.rand(0)).where(F.col("__once") >= 0)
+
+
 def ndjson_columns(line: Column, doc: Column | None = None) -> tuple[Column, Column]:
     """(fields, corrupt) of a line, and of the line parsed if that is at hand; a value that is no object becomes ``{"value": v}``."""
     value = F.try_parse_json(line) if doc is None else doc
@@ -151,7 +156,7 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, header: bool =
 
 def _parsed(rows: DataFrame, fmt: str) -> Frame:
     if fmt == "logfmt":
-        return Frame(rows.select(_logfmt(F.col("value")).alias("fields"), F.col("value").alias("_raw"), "_ord", "_src_file"), dynamic=True, order=(F.col("_ord").asc(),))
+        return Frame(_once(rows.select(_logfmt(F.col("value")).alias("fields"), F.col("value").alias("_raw"), "_ord", "_src_file")), dynamic=True, order=(F.col("_ord").asc(),))
     # each line is parsed once, below whatever a query asks of it: the random column keeps filters from being moved below the parsing
     marked = rows.select("*", F.try_parse_json("value").alias(DOC), F.rand(0).alias("__once"))
     good, bad = marked.where(F.col(DOC).isNotNull() & (F.col("__once") >= 0)), marked.where(F.col(DOC).isNull())
@@ -206,7 +211,7 @@ def _whole(spark: SparkSession, path: str, fmt: str, header: bool, sep: str, fil
     rows = rows.withColumn("_ord", order)
     if fmt == "ndjson":
         return _parsed(rows.select(F.col("json").alias("value"), "_ord", "_src_file"), fmt)
-    return Frame(rows.select(F.from_json("json", DYNAMIC).alias("fields"), "_raw", "_ord", "_src_file"), dynamic=True, order=(F.col("_ord").asc(),))
+    return Frame(_once(rows.select(F.from_json("json", DYNAMIC).alias("fields"), "_raw", "_ord", "_src_file")), dynamic=True, order=(F.col("_ord").asc(),))
 
 
 def _split_cells(spark: SparkSession, path: str, header: bool, sep: str, file_index: int) -> Frame | None:
@@ -232,7 +237,7 @@ def _split_cells(spark: SparkSession, path: str, header: bool, sep: str, file_in
     text = [F.coalesce(f"c{i}", F.lit("")) for i in range(len(names))]
     last = {name: i for i, name in enumerate(names)}  # of columns with one name the last counts, at the place of the first
     fields = F.map_from_arrays(F.array(*(F.lit(n) for n in last)), F.array(*(auto_coerce(text[i], trimmed=True) for i in last.values())))
-    return Frame(rows.select(fields.alias("fields"), F.concat_ws(",", *(text[i] for i in last.values())).alias("_raw"), "_ord", F.lit(path).alias("_src_file")), dynamic=True, order=(F.col("_ord").asc(),))
+    return Frame(_once(rows.select(fields.alias("fields"), F.concat_ws(",", *(text[i] for i in last.values())).alias("_raw"), "_ord", F.lit(path).alias("_src_file"))), dynamic=True, order=(F.col("_ord").asc(),))
 
 
 def _cells(spark: SparkSession, path: str, header: bool, sep: str, file_index: int) -> Frame:
@@ -247,7 +252,7 @@ def _cells(spark: SparkSession, path: str, header: bool, sep: str, file_index: i
     rows = files.mapInPandas(run, "names array<string>, cells array<string>, row long")
     fields = F.map_from_arrays("names", F.transform("cells", lambda c: auto_coerce(c, trimmed=True)))
     order = F.struct(F.lit(file_index).alias("file"), F.lit(0).cast("long").alias("block"), F.col("row").alias("row"))
-    return Frame(rows.select(fields.alias("fields"), F.array_join("cells", ",").alias("_raw"), order.alias("_ord"), F.lit(path).alias("_src_file")), dynamic=True, order=(F.col("_ord").asc(),))
+    return Frame(_once(rows.select(fields.alias("fields"), F.array_join("cells", ",").alias("_raw"), order.alias("_ord"), F.lit(path).alias("_src_file"))), dynamic=True, order=(F.col("_ord").asc(),))
 
 
 def csv_rows(text: str, header: bool, sep: str, name: str = "") -> list[tuple[list[str], list[str], int]]:
@@ -271,7 +276,7 @@ def text_frame(spark: SparkSession, text: str, fmt: str | None = None, header: b
         df = spark.createDataFrame(rows, "names array<string>, cells array<string>, row long")
         fields = F.map_from_arrays("names", F.transform("cells", lambda c: auto_coerce(c, trimmed=True)))
         df = df.select(fields.alias("fields"), F.array_join("cells", ",").alias("_raw"), F.col("row").alias("_ord"), F.lit("").alias("_src_file"))
-        return Frame(df, dynamic=True, order=(F.col("_ord").asc(),))
+        return Frame(_once(df), dynamic=True, order=(F.col("_ord").asc(),))
     if fmt in WHOLE:
         lines = [json_text(r) for r in WHOLE[fmt](text)]
         fmt = "ndjson"
