@@ -1,7 +1,7 @@
 """Substring deduplication on a log-structured fingerprint index.
 
 The index holds the contexts of historical windows (see passages), each where it occurs first, under the hash of its anchor.  It
-is a list of immutable runs, each a Parquet table of ``BUCKETS`` files by hash of the anchor, every file sorted; a manifest names the runs, so an
+is a list of immutable runs, each a Parquet table of as many files by hash of the anchor as the session had shuffle partitions when the index was made, every file sorted; a manifest names the runs, so an
 index can be closed and opened again.  A new batch is fingerprinted, distributed into the same buckets and merge-joined with each run
 bucket by bucket; no run is ever shuffled.  Contexts that the index lacks become a run of level 0, and when a level has ``FANOUT`` runs they are
 merged, again bucket by bucket, into one of the next level.
@@ -29,7 +29,6 @@ from .textkit import ragged_take, run_hashes, signed, slices
 
 FANOUT = 2
 BATCHES = 3
-BUCKETS = 64
 ROWS_AT_ONCE = 200_000
 ENTRY = "key long, ctx long, doc_id long, th int, lo int"
 
@@ -39,7 +38,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.path = spark, path or scratch(spark, "fingerprints")
-        self.buckets, self.written = buckets or BUCKETS, 0
+        self.buckets, self.written = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), 0
         self.runs: list[tuple[int, str]] = []
         self._tables: dict[str, str] = {}
         said = self._manifests()
@@ -142,7 +141,7 @@ class FingerprintIndex:
         return reduce(DataFrame.unionByName, (self._run(name).join(keys.hint("merge"), "key", "left_semi") for _, name in self.runs), none)
 
     def ingest(self, batch: DataFrame, history: DataFrame, since: int) -> DataFrame:
-        """Stretches (doc_id, th, s, e, first_doc) of the batch that occur before; then indexes the batch.
+        """Stretches (doc_id, th, start, n_words, first_doc) of the batch that occur before; then indexes the batch.
 
         The batch has the doc_ids from ``since`` on, the history those below; both are rows_of documents.
         """
@@ -163,8 +162,7 @@ class FingerprintIndex:
         first = (F.col("doc_id") == F.col("doc0")) & (F.col("th") == F.col("th0")) & (F.col("lo") == F.col("lo0"))
         met = found.join(small(answers, answers.count(), 80), ["key", "ctx"]).where(first == F.col("own"))
         stretches = met.select("doc_id", "th", (F.col("lo") + F.col("i")).alias("s"), F.least("hi", F.col("lo").cast("long") + F.col("j")).cast("int").alias("e"), "first_doc", "first_th", "first_pos")
-        stretches = settle(stretches)
-        told = _verified(stretches, batch, history, since)
+        told = _verified(spans(stretches, "first_doc", "first_th", "first_pos"), batch, history, since)
         entries = new.select("key", "ctx", "doc_id", "th", "lo").repartition(self.buckets, "key")
         self._commit([*self.runs, (0, self._write(entries))])
         self.compact()
@@ -267,10 +265,10 @@ def _verified(stretches: DataFrame, batch: DataFrame, history: DataFrame, since:
         joined = texts.join(small(asked, 1, 24 * n + 24 * n), (F.col("doc_id") == F.col("in_doc")) & (F.col("th") == F.col("in_th"))).select("text", "asked")
         return joined.mapInArrow(run, f"{name}_id long, {name} binary")
 
-    here = cuts(batch, "doc_id", "th", "s", "here")
+    here = cuts(batch, "doc_id", "th", "start", "here")
     there = cuts(batch.unionByName(_near(history, ids, "first_doc", since)), "first_doc", "first_th", "first_pos", "there")
     same = here.join(there, F.col("here_id") == F.col("there_id")).where("here = there").select("here_id")
-    return settle(ids.join(same, F.col("id") == F.col("here_id"), "left_semi").select("doc_id", "th", "s", "e", "first_doc"))
+    return settle(ids.join(same, F.col("id") == F.col("here_id"), "left_semi").select("doc_id", "th", "start", "n_words", "first_doc"))
 
 
 def incremental_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -293,7 +291,7 @@ def incremental_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         batch = rows.where((F.col("doc_id") >= a) & (F.col("doc_id") < z))
         out.append(index.ingest(batch, rows.where(F.col("doc_id") < a), a))
     index.drop()
-    return spans(reduce(DataFrame.unionByName, out), "first_doc").select("doc_id", "start", "n_words", "first_doc")
+    return reduce(DataFrame.unionByName, out).select("doc_id", "start", "n_words", "first_doc")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
