@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textkit import substring_hashes, text_buffers
+from .textkit import ragged_take, substring_hashes, text_buffers
 
 MAGIC = b"WVLT0001"
 BLOCK_BITS = 1 << 17
 #: A shard is closed at the first document end from so many bytes of text on.
 SHARD_BYTES = 8_000_000
-#: Encodings of chunks that a worker remembers.
-REMEMBERED = 300_000
+#: Longer chunks are encoded each for itself: polynomials modulo 2^64 name some texts of a kilobyte alike.
+NAMED_BYTES = 64
 VOCABULARY = "byte_bpe_50k.tiktoken"
 NO_ID = -(2**63)
 
@@ -42,8 +42,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Tokenizer:
     """Byte-level BPE over chunks of blanks and the non-blanks behind them.
 
-    The vocabulary's pattern never joins what such a cut separates, so chunks encode as they would within the text,
-    and most chunks have been seen before.
+    The vocabulary's pattern never joins what such a cut separates, so chunks encode as they would within the text.
+    Of equal chunks of a slice one is encoded.
     """
 
     def __init__(self, path: str):
@@ -54,7 +54,8 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("shard", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.top = max(ranks.values())
-        self.seen: dict[int, np.ndarray] = {}
+        self.width = np.zeros(self.top + 1, dtype=np.int64)
+        self.width[list(ranks.values())] = [len(x) for x in ranks]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, and where each text begins (one more entry than texts)."""
@@ -62,49 +63,74 @@ class Tokenizer:
         start, end = chunks(buf, offs)
         if not len(start):
             return np.zeros(0, dtype=np.int32), np.zeros(len(offs), dtype=np.int64)
-        h = substring_hashes(buf, start, end)
-        unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        raw, seen = buf.tobytes(), self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        ids = []
-        for key, i in zip(unique.tolist(), where.tolist(), strict=True):
-            got = seen.get(key)
-            if got is None:
-                got = seen[key] = np.array(self.encoding.encode_ordinary(raw[start[i] : end[i]].decode("utf-8")), dtype=np.int32)
-            ids.append(got)
-        size = np.array([len(x) for x in ids])
-        flat = np.concatenate(ids)
-        first = np.cumsum(size) - size
+        named = end - start <= NAMED_BYTES
+        _, where, at = np.unique(substring_hashes(buf, start[named], end[named]), return_index=True, return_inverse=True)
+        pick = np.concatenate([np.flatnonzero(named)[where], np.flatnonzero(~named)])
+        inverse = np.empty(len(start), dtype=np.int64)
+        inverse[named], inverse[~named] = at, np.arange(len(where), len(pick))
+        flat, first, size = self._encode_chunks(buf, start[pick], end[pick])
         n = size[inverse]
         at = np.cumsum(n) - n
         total = int(n.sum())
         out = flat[np.arange(total) - np.repeat(at, n) + np.repeat(first[inverse], n)]
         return out, np.append(at, total)[np.searchsorted(start, offs)]
 
+    def _encode_chunks(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids, and where in them each chunk's begin and how many they are.
+
+        Chunks that surely end in no blank are encoded in one call: those that begin with a blank follow the one before
+        as they are, and those that surely begin with none follow a line feed, which the pattern keeps apart.
+        """
+        blank = _BLANK[buf[start]]
+        joined = ~_maybe_blank(buf, end) & (blank | _SURE_FIRST[buf[start]])
+        one, rest = np.flatnonzero(joined), np.flatnonzero(~joined)
+        gap = ~blank[one]
+        gap[:1] = False
+        length = end[one] - start[one]
+        till = np.cumsum(length + gap)
+        text = np.full(int(till[-1]) if len(one) else 0, 10, dtype=np.uint8)
+        inside = np.ones(len(text), dtype=bool)
+        inside[(till - length - gap)[gap]] = False
+        text[inside] = ragged_take(buf, start[one], length)
+        ids = [self._ids(text.tobytes()), *(self._ids(buf[start[i] : end[i]].tobytes()) for i in rest)]
+        first, size = np.empty(len(start), dtype=np.int64), np.empty(len(start), dtype=np.int64)
+        upto = np.concatenate([[0], np.cumsum(self.width[ids[0]])])  # bytes before each token
+        first[one] = np.searchsorted(upto, till - length)
+        size[one] = np.searchsorted(upto, till) - first[one]
+        size[rest] = [len(x) for x in ids[1:]]
+        first[rest] = len(ids[0]) + np.cumsum(size[rest]) - size[rest]
+        return np.concatenate(ids), first, size
+
+    def _ids(self, raw: bytes) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(raw.decode("utf-8")), dtype=np.int32)
+
 
 def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges that begin at a text's start, and at every ASCII blank behind what surely is no blank."""
     if not len(buf):
         return (np.zeros(0, dtype=np.int64),) * 2
-    blank = _BLANK[buf]
-    before = np.concatenate([[0], buf[:-1]])
-    cut = blank & ~_UNSURE[before]
+    cut = _BLANK[buf]
     cut[0] = True
-    high = np.flatnonzero(blank & (before >= 128))  # the byte before ends a character beyond ASCII, maybe a blank
-    two = buf[np.maximum(high - 2, 0)]
-    three = buf[np.maximum(high - 3, 0)]
-    cut[high[(two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3))]] = False
+    at = np.flatnonzero(cut[1:]) + 1
+    cut[at[_maybe_blank(buf, at)]] = False
     begin = offs[:-1][offs[1:] > offs[:-1]]
     cut[begin] = True
     start = np.flatnonzero(cut)
     return start, np.append(start[1:], len(buf))
 
 
+def _maybe_blank(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place, 1 or more, may be a blank."""
+    before, two, three = buf[at - 1], buf[np.maximum(at - 2, 0)], buf[np.maximum(at - 3, 0)]
+    return _UNSURE[before] | (before >= 128) & ((two == 0xC2) | (three >= 0xE1) & (three <= 0xE3))
+
+
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _UNSURE = _BLANK.copy()
 _UNSURE[28:32] = True
+_SURE_FIRST = ~_UNSURE
+_SURE_FIRST[[0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
 def build(tokens: np.ndarray, doc_starts: np.ndarray, doc_ids: np.ndarray, bits: int) -> bytes:

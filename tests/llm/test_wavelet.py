@@ -44,6 +44,41 @@ def test_chunks_encode_as_whole_texts():
         assert ids[at[i] : at[i + 1]].tolist() == tok.encoding.encode_ordinary(t or "")
 
 
+def test_distinct_chunks_are_encoded_together():
+    tok, calls = Tokenizer(wavelet.vocabulary_path()), []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return whole(text)
+
+    whole, tok.encoding = tok.encoding.encode_ordinary, Counted()
+    texts = [prose(i, 200) for i in range(20)] + [f"w{i}" for i in range(200)] + ["ends in blanks  ", "\u3000wide", "'s first"]
+    ids, at = tok.encode(pa.array(texts))
+    assert len(calls) < 10
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == whole(t)
+
+
+def test_chunks_in_any_mixture_encode_as_whole_texts():
+    tok, r = Tokenizer(wavelet.vocabulary_path()), np.random.default_rng(3)
+    parts = [" ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "a", "The", "é", "日", "か", "12", ".", "'s", "'", "“", "🙂", "\x00", "x" * 70]
+    for _ in range(200):
+        texts = ["".join(r.choice(parts, r.integers(0, 12))) for _ in range(20)]
+        ids, at = tok.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == tok.encoding.encode_ordinary(t)
+
+
+def test_long_chunks_of_one_hash_are_told_apart():
+    a, b = "a", "b"
+    for _ in range(12):  # Thue-Morse texts: equal under any polynomial hash modulo 2^64
+        a, b = a + b, b + a
+    tok = Tokenizer(wavelet.vocabulary_path())
+    ids, at = tok.encode(pa.array([a, b]))
+    assert [tok.encoding.decode(ids[at[i] : at[i + 1]].tolist()) for i in (0, 1)] == [a, b]
+
+
 def test_round_trip_of_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
