@@ -6,9 +6,10 @@ import io
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,6 +190,15 @@ _LINES = {
 _HEADS = {"csv": "event_id,user_id,event_type,value,ts", "tsv": "event_id\tuser_id\tevent_type\tvalue\tts"}
 
 
+#: Rows of one file of those that the queries write; more rows make more files, so that no task sorts, packs or parses them all.
+FILE_ROWS = 500_000
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    """The rows in order of event_id, a partition a file."""
+    return rows.repartitionByRange(max(1, -(-rows.count() // FILE_ROWS)), "event_id").sortWithinPartitions("event_id")
+
+
 def _written(spark: SparkSession, rows: DataFrame, line: Column, ending: str, head: str | None = None, packed: bool = False) -> str:
     """One file of these lines, in order of event_id, with a first line if there is one; the path of its folder."""
     at = f"{_folder(spark)}.{ending}"
@@ -211,11 +221,22 @@ def _read(fmt: str, query: str, line: str | None = None, packed: bool = False, w
 
 def _json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{_folder(spark)}.json"
-    rows = _events(spark, sf_dir).agg(F.sort_array(F.collect_list(F.struct("*"))).alias("all"))
-    rows.select(F.concat(F.lit("[\n"), F.array_join(F.transform("all", lambda r: F.to_json(r)), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.text(at)
+    _ranges(_events(spark, sf_dir)).select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_as_array, "value string").write.text(at)
     return Engine(spark).query(at, "where event_type=error sum value").df
 
 
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that hold a document each as the items of one array."""
+    lead = "[\n"
+    for batch in batches:
+        lines = []
+        for text in batch.column("value").to_pylist():
+            lines.append(lead + text)
+            lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["]" if lead == "," else "[]"])], names=["value"])
+
+
 def _toml_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{_folder(spark)}.toml"
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("all"))

@@ -1,7 +1,7 @@
 """Readers: paths to frames.
 
-Line formats and tables of cells are read as splits, so large files are parsed in parallel; documents (JSON, YAML, TOML), and
-tables with line feeds inside of cells, are read whole, one file a task.  Parquet and DataFrames keep their types.
+Line formats, tables of cells and JSON documents are read as splits, so large files are parsed in parallel; YAML and TOML documents,
+packed JSON, and tables with line feeds inside of cells, are read one file a task.  Parquet and DataFrames keep their types.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..errors import FormatError
 from ..operators.frame import Frame
 from ..operators.lower import auto_coerce
+from . import documents
 from .detect import HEAD, sniff
 from .parse import WHOLE, json_text, logfmt
 
@@ -143,6 +144,8 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, header: bool =
     named = not packed or path.endswith(".gz")  # Spark unpacks by the ending only
     if fmt in ("csv", "tsv") and named and (cells := _split_cells(spark, path, header, sep or ("\t" if fmt == "tsv" else ","), file_index)):
         return cells
+    if fmt == "json" and not packed and (split := _split_documents(spark, path, file_index)):
+        return split
     if fmt in WHOLE or fmt in ("csv", "tsv") or not named:
         return _whole(spark, path, fmt, header, sep or ("\t" if fmt == "tsv" else ","), file_index)
     lines = _lines(spark, path, file_index)
@@ -214,6 +217,28 @@ def _whole(spark: SparkSession, path: str, fmt: str, header: bool, sep: str, fil
     return Frame(_once(rows.select(F.from_json("json", DYNAMIC).alias("fields"), "_raw", "_ord", "_src_file")), dynamic=True, order=(F.col("_ord").asc(),))
 
 
+#: Endings of files that Spark unpacks.
+PACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".zstd", ".xz", ".lzo")
+
+
+def _split_documents(spark: SparkSession, path: str, file_index: int) -> Frame | None:
+    """JSON documents read in splits, unless they are packed."""
+    key, whole = F.xxhash64("_metadata.file_path"), spark.read.format("binaryFile").load(path)
+    files = whole.select(key.alias("key"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).sort("path").collect()
+    names = {f.key: f.path for f in files}
+    if len(names) < len(files) or any(f.path.lower().endswith(PACKED) for f in files):
+        return None
+    chunks = spark.read.option("lineSep", "}").text(path).select(key.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    begin = documents.starts(chunks.mapInArrow(documents.summaries, documents.SUMMARY).collect(), {f.key: f.size for f in files}, names)
+    places = {f.key: i for i, f in enumerate(files)}
+    rows = chunks.mapInArrow(documents.cutter(begin, names, places, True), documents.CUT).select("file", "block", "row", "json")
+    if any(s.owner is not None for s in begin.values()):
+        parts = chunks.mapInArrow(documents.cutter(begin, names, places, False), documents.CUT).select("file", "block", "owner", "part")
+        rows = rows.unionByName(parts.groupBy("file", "owner").applyInPandas(documents.mended([f.path for f in files]), "file long, block long, row long, json string"))
+    order = F.struct(F.lit(file_index).alias("file"), F.shiftleft("file", 40).bitwiseOR(F.col("block")).alias("block"), "row")
+    return Frame(_once(rows.select(F.from_json("json", DYNAMIC).alias("fields"), F.col("json").alias("_raw"), order.alias("_ord"), F.lit(path).alias("_src_file"))), dynamic=True, order=(F.col("_ord").asc(),))
+
+
 def _split_cells(spark: SparkSession, path: str, header: bool, sep: str, file_index: int) -> Frame | None:
     """CSV read in splits, if it is one file whose cells hold no line feed; else None."""
     lines = spark.read.text(path)
