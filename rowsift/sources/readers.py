@@ -12,7 +12,9 @@ import io
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import batched, chain
 from pathlib import Path
+from typing import BinaryIO, TextIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +53,15 @@ def parquet(spark: SparkSession, *paths: str) -> Frame:
         return Frame(df, position=row)
     if len(files) > NUMBERED_FILES:
         return Frame(df, position=F.struct(path, row))
-    place = F.create_map(*(x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i).cast("long"))))
-    return Frame(df, position=F.shiftleft(F.try_element_at(place, path), 40).bitwiseOR(row))
+    return Frame(df, position=F.shiftleft(_place(files), 40).bitwiseOR(row))
+
+
+def _place(files: list[str]) -> Column:
+    """Which of these files a row is of; a local path is written with one slash or three."""
+    path, local = F.col("_metadata.file_path"), files[0].startswith("file:")
+    if local:
+        path, files = F.replace(path, F.lit("file:///"), F.lit("file:/")), [f.replace("file:///", "file:/") for f in files]
+    return F.try_element_at(F.create_map(*(x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i).cast("long")))), path)
 
 
 def records(fields: Column, raw: Column) -> list[Column]:
@@ -75,10 +84,18 @@ def ndjson_columns(line: Column, doc: Column | None = None) -> tuple[Column, Col
 def _lines(spark: SparkSession, path: str, file_index: int) -> DataFrame:
     """(value, _ord, _src_file) of a text file, cut at line feeds alone; blank lines are still there."""
     lines = spark.read.option("lineSep", "\n").text(path)
-    order = F.struct(F.lit(file_index).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    order = F.struct(F.lit(file_index).alias("file"), _block(lines).alias("block"), F.monotonically_increasing_id().alias("row"))
     return lines.select(_bare(F.validate_utf8("value")).alias("value"), order.alias("_ord"), F.lit(path).alias("_src_file"))
 
 
+def _block(files: DataFrame) -> Column:
+    """Where a row's block stands: in its file, and that among the files by path; with very many files, in its file alone."""
+    paths, start = sorted(files.inputFiles()), F.col("_metadata.file_block_start")
+    if not 1 < len(paths) <= NUMBERED_FILES:
+        return start
+    return F.shiftleft(_place(paths), 40).bitwiseOR(start)
+
+
 def _bare(line: Column) -> Column:
     """A line without the carriage return at its end."""
     return F.when(line.endswith("\r"), line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)
@@ -119,13 +136,10 @@ def _unpacked(head: bytes) -> bytes:
     return zlib.decompressobj(31).decompress(head) if head[:2] == b"\x1f\x8b" else head
 
 
-def _content(data: bytes, path: str) -> str:
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError as e:
-        raise FormatError(f"{path}: not valid UTF-8") from e
+def _opened(data: bytes, newline: str) -> TextIO:
+    """A text that is unpacked and decoded as it is read."""
+    packed: BinaryIO = io.BytesIO(data)
+    return io.TextIOWrapper(gzip.GzipFile(fileobj=packed) if data[:2] == b"\x1f\x8b" else packed, encoding="utf-8", newline=newline)
 
 
 def read(spark: SparkSession, path: str, fmt: str | None = None, header: bool = True, sep: str | None = None, file_index: int = 0) -> Frame:
@@ -141,7 +155,7 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, header: bool =
         fmt = "csv"
     if fmt == "parquet":
         return parquet(spark, path)
-    named = not packed or path.endswith(".gz")  # Spark unpacks by the ending only
+    named = not packed or all(f.endswith(".gz") for f in spark.read.text(path).inputFiles())  # Spark unpacks by the ending only
     if fmt in ("csv", "tsv") and named and (cells := _split_cells(spark, path, header, sep or ("\t" if fmt == "tsv" else ","), file_index)):
         return cells
     if fmt == "json" and not packed and (split := _split_documents(spark, path, file_index)):
@@ -189,28 +203,44 @@ def _logfmt(line: Column) -> Column:
     return F.when(regular, F.map_from_arrays(keys, values)).otherwise(parsed)
 
 
+#: Rows that a task which parses a file as a whole returns at once.
+RETURNED = 10_000
+
+
 def _whole(spark: SparkSession, path: str, fmt: str, header: bool, sep: str, file_index: int) -> Frame:
     """Files parsed as a whole: documents, tables of cells, and whatever is packed without saying so."""
     if fmt in ("csv", "tsv"):
         return _cells(spark, path, header, sep, file_index)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path)
+    files = files.select("path", "content", _block(files).alias("block"))
+
+    def texts(content: bytes) -> Iterator[tuple[str, str]]:
+        """(JSON, original text) of each record."""
+        text = _opened(content, "\n")
+        if fmt in WHOLE:
+            yield from ((t, t) for t in map(json_text, WHOLE[fmt](text.read())))
+            return
+        for x in (line.removesuffix("\n").removesuffix("\r") for line in text):
+            if fmt == "text":
+                if x:
+                    yield json_text({"line": x}), x
+            elif fmt == "logfmt":
+                if x.strip():
+                    yield json_text(logfmt(x)), x.strip()
+            elif x.strip(BLANKS):
+                yield x.strip(BLANKS), x.strip(BLANKS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                text = _content(content, name)
-                if fmt in WHOLE:
-                    rows = [(json_text(r), json_text(r)) for r in WHOLE[fmt](text)]
-                elif fmt == "logfmt":
-                    rows = [(json_text(logfmt(x)), x.strip()) for x in split_lines(text) if x.strip()]
-                elif fmt == "text":
-                    rows = [(json_text({"line": x}), x) for x in split_lines(text) if x]
-                else:
-                    rows = [(x.strip(BLANKS), x.strip(BLANKS)) for x in split_lines(text) if x.strip(BLANKS)]
-                yield pd.DataFrame({"json": [j for j, _ in rows], "_raw": [r for _, r in rows], "row": range(len(rows)), "_src_file": name})
-
-    rows = files.mapInPandas(run, "json string, _raw string, row long, _src_file string")
-    order = F.struct(F.lit(file_index).alias("file"), F.lit(0).cast("long").alias("block"), F.col("row").alias("row"))
+            for name, content, block in batch.itertuples(index=False):
+                try:
+                    for rows in batched(enumerate(texts(content)), RETURNED):
+                        yield pd.DataFrame([(j, r, block, i, name) for i, (j, r) in rows], columns=["json", "_raw", "block", "row", "_src_file"])
+                except UnicodeDecodeError as e:
+                    raise FormatError(f"{name}: not valid UTF-8") from e
+
+    rows = files.mapInPandas(run, "json string, _raw string, block long, row long, _src_file string")
+    order = F.struct(F.lit(file_index).alias("file"), "block", "row")
     rows = rows.withColumn("_ord", order)
     if fmt == "ndjson":
         return _parsed(rows.select(F.col("json").alias("value"), "_ord", "_src_file"), fmt)
@@ -267,37 +297,43 @@ def _split_cells(spark: SparkSession, path: str, header: bool, sep: str, file_in
 
 def _cells(spark: SparkSession, path: str, header: bool, sep: str, file_index: int) -> Frame:
     """CSV: cells are texts turned into null, bool, integer, number or trimmed text one by one; ragged rows are an error."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path)
+    files = files.select("path", "content", _block(files).alias("block"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame(csv_rows(_content(content, name), header, sep, name), columns=["names", "cells", "row"])
-
-    rows = files.mapInPandas(run, "names array<string>, cells array<string>, row long")
+            for name, content, block in batch.itertuples(index=False):
+                try:
+                    for rows in batched(csv_rows(_opened(content, ""), header, sep, name), RETURNED):
+                        yield pd.DataFrame(rows, columns=["names", "cells", "row"]).assign(block=block)
+                except UnicodeDecodeError as e:
+                    raise FormatError(f"{name}: not valid UTF-8") from e
+
+    rows = files.mapInPandas(run, "names array<string>, cells array<string>, row long, block long")
     fields = F.map_from_arrays("names", F.transform("cells", lambda c: auto_coerce(c, trimmed=True)))
-    order = F.struct(F.lit(file_index).alias("file"), F.lit(0).cast("long").alias("block"), F.col("row").alias("row"))
+    order = F.struct(F.lit(file_index).alias("file"), "block", "row")
     return Frame(_once(rows.select(fields.alias("fields"), F.array_join("cells", ",").alias("_raw"), order.alias("_ord"), F.lit(path).alias("_src_file"))), dynamic=True, order=(F.col("_ord").asc(),))
 
 
-def csv_rows(text: str, header: bool, sep: str, name: str = "") -> list[tuple[list[str], list[str], int]]:
-    lines = [r for r in _csv.reader(io.StringIO(text, newline=""), delimiter=sep, strict=True) if r]
-    if not lines:
-        return []
-    names = [c.strip() for c in lines[0]] if header else [f"col{i + 1}" for i in range(len(lines[0]))]
-    out = []
-    for i, cells in enumerate(lines[1:] if header else lines):
+def csv_rows(text: TextIO, header: bool, sep: str, name: str = "") -> Iterator[tuple[list[str], list[str], int]]:
+    lines = (r for r in _csv.reader(text, delimiter=sep, strict=True) if r)
+    first = next(lines, None)
+    if first is None:
+        return
+    names = [c.strip() for c in first] if header else [f"col{i + 1}" for i in range(len(first))]
+    shown = list(dict.fromkeys(names))
+    for i, cells in enumerate(lines if header else chain([first], lines)):
         if len(cells) != len(names):
             raise FormatError(f"{name}: row {i + 1 + header} has {len(cells)} cells, expected {len(names)}")
-        out.append((list(dict.fromkeys(names)), [dict(zip(names, cells, strict=True))[n] for n in dict.fromkeys(names)], i))
-    return out
+        of = dict(zip(names, cells, strict=True))
+        yield shown, [of[n] for n in shown], i
 
 
 def text_frame(spark: SparkSession, text: str, fmt: str | None = None, header: bool = True, sep: str | None = None) -> Frame:
     """A frame of a text at hand, such as standard input."""
     fmt = "csv" if sep else fmt or sniff(text.encode()[:HEAD])
     if fmt in ("csv", "tsv"):
-        rows = csv_rows(text, header, sep or ("\t" if fmt == "tsv" else ","))
+        rows = list(csv_rows(io.StringIO(text, newline=""), header, sep or ("\t" if fmt == "tsv" else ",")))
         df = spark.createDataFrame(rows, "names array<string>, cells array<string>, row long")
         fields = F.map_from_arrays("names", F.transform("cells", lambda c: auto_coerce(c, trimmed=True)))
         df = df.select(fields.alias("fields"), F.array_join("cells", ",").alias("_raw"), F.col("row").alias("_ord"), F.lit("").alias("_src_file"))

@@ -1,6 +1,8 @@
 """Steps whose memory must not grow with the input, over inputs cut small."""
 
 import glob
+import gzip
+import io
 import json
 import random
 
@@ -64,3 +66,45 @@ def test_the_events_are_written_as_several_json_documents(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_folder", lambda s, f=catalog._folder: at.append(f(s)) or at[-1])
     assert catalog.queries()["src_json_sniffed"](spark, SF).collect() == want
     assert len(glob.glob(f"{at[0].removeprefix('file:')}.json/part-*")) == 10
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_folders_are_read_as_streams_whatever_the_folder_is_called(spark, tmp_path):
+    for name, texts in (("a.log", ['{"a":1}\n', '{"a":2}\n']),):
+        (tmp_path / name).mkdir()
+        for k, text in enumerate(texts):
+            (tmp_path / name / f"{k}.txt.gz").write_bytes(gzip.compress(text.encode()))
+        result = Engine(spark).query(str(tmp_path / name), "where a gt 0 select a")
+        assert list(result.records()) == [{"a": 1}, {"a": 2}]
+        assert "binaryFile" not in _plan(result.df)
+
+
+def test_files_packed_without_saying_so_are_unpacked_bit_by_bit(spark, tmp_path, monkeypatch):
+    lines = "".join(f'{{"a":{i}}}\r\n\n' for i in range(25_000))
+    (tmp_path / "x.log").write_bytes(gzip.compress(lines.encode()))
+    result = Engine(spark).query(str(tmp_path / "x.log"), "where a gte 0")
+    assert [r["a"] for r in result.records()] == list(range(25_000))
+    whole = io.BytesIO(gzip.compress(random.Random(1).randbytes(1 << 20).hex().encode()))
+    monkeypatch.setattr(readers.io, "BytesIO", lambda data: whole)
+    readers._opened(whole.getvalue(), "\n").read(10)
+    assert whole.tell() < len(whole.getvalue()) / 2
+
+
+def test_rows_of_a_folder_are_in_the_order_of_its_files(spark, tmp_path):
+    (tmp_path / "in.log").mkdir()
+    for k, n in enumerate((1, 40, 5)):
+        (tmp_path / "in.log" / f"{k}.txt").write_text("".join(f'{{"f":{k},"i":{i}}}\n' for i in range(n)))
+    got = [(r["f"], r["i"]) for r in Engine(spark).query(str(tmp_path / "in.log"), "where f gte 0").records()]
+    assert got == [(k, i) for k, n in enumerate((1, 40, 5)) for i in range(n)]
+
+
+def test_rows_of_a_folder_of_parquet_files_are_in_the_order_of_its_files(spark, tmp_path):
+    for k, n in enumerate((5, 400, 50)):
+        spark.range(n).selectExpr(f"{k} AS f", "id AS i").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    paths = [str(tmp_path / "in" / str(k)) for k in range(3)]
+    got = [(r["f"], r["i"]) for r in Engine(spark).query(readers.parquet(spark, *paths), "where f gte 0").records()]
+    want = [(k, i) for k, n in enumerate((5, 400, 50)) for i in range(n)]
+    assert got == want
