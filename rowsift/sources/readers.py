@@ -15,6 +15,7 @@ from functools import reduce
 from itertools import batched, chain
 from pathlib import Path
 from typing import BinaryIO, TextIO
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -270,24 +271,28 @@ def _split_documents(spark: SparkSession, path: str, file_index: int) -> Frame |
 
 
 def _split_cells(spark: SparkSession, path: str, header: bool, sep: str, file_index: int) -> Frame | None:
-    """CSV read in splits, if it is one file whose cells hold no line feed; else None."""
+    """CSV read in splits, if no cell holds a line feed and all files have the same columns; else None."""
     lines = spark.read.text(path)
-    if len(lines.inputFiles()) != 1:
-        return None
-    first = next((x for x in _unpacked(_head(spark, path, 1 << 16)).split(b"\n")[:-1] if x.strip()), None)
+    firsts = []
+    for file in map(unquote, lines.inputFiles()):
+        at = file.removeprefix("file://") if file.startswith("file:///") else file
+        if head := _unpacked(_head(spark, at, 1 << 16)):
+            firsts.append(next((x for x in head.split(b"\n")[:-1] if x.strip()), None))
     odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
     flags = lines.agg(F.bool_or(odd), F.bool_or(~F.is_valid_utf8("value"))).first()
     if flags[1]:
         raise FormatError(f"{path}: not valid UTF-8")
-    if first is None or flags[0]:
+    if not firsts or None in firsts or flags[0]:
+        return None
+    heads = [next(_csv.reader([x.decode("utf-8").removeprefix("\ufeff").removesuffix("\r")], delimiter=sep, strict=True)) for x in firsts]
+    names, *others = ([c.strip() for c in cells] if header else [f"col{i + 1}" for i in range(len(cells))] for cells in heads)
+    if any(x != names for x in others):
         return None
-    cells = next(_csv.reader([first.decode("utf-8").removeprefix("\ufeff").removesuffix("\r")], delimiter=sep, strict=True))
-    names = [c.strip() for c in cells] if header else [f"col{i + 1}" for i in range(len(cells))]
     schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", __bad string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad", "sep": sep, "header": header, "quote": '"', "escape": '"', "columnPruning": False, "maxColumns": max(20480, 2 * len(names))}
     rows = spark.read.schema(schema).options(**options).csv(path)
     wrong = F.raise_error(F.concat(F.lit(f"{path}: a row has too many or too few cells, expected {len(names)}: "), F.col("__bad"))).cast("boolean")
-    rows = rows.select("*", F.struct(F.lit(file_index).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_ord"))
+    rows = rows.select("*", F.struct(F.lit(file_index).alias("file"), _block(rows).alias("block"), F.monotonically_increasing_id().alias("row")).alias("_ord"))
     rows = rows.where(F.when(F.col("__bad").isNotNull(), wrong).otherwise(F.coalesce("c0", F.lit("")) >= ""))  # a query may not ask for the broken rows alone
     text = [F.coalesce(f"c{i}", F.lit("")) for i in range(len(names))]
     last = {name: i for i, name in enumerate(names)}  # of columns with one name the last counts, at the place of the first

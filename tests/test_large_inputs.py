@@ -73,7 +73,7 @@ def _plan(df) -> str:
 
 
 def test_packed_folders_are_read_as_streams_whatever_the_folder_is_called(spark, tmp_path):
-    for name, texts in (("a.log", ['{"a":1}\n', '{"a":2}\n']),):
+    for name, texts in (("a.log", ['{"a":1}\n', '{"a":2}\n']), ("b.csv", ["a,b\n1,x\n", "a,b\n2,y\n"])):
         (tmp_path / name).mkdir()
         for k, text in enumerate(texts):
             (tmp_path / name / f"{k}.txt.gz").write_bytes(gzip.compress(text.encode()))
@@ -93,6 +93,24 @@ def test_files_packed_without_saying_so_are_unpacked_bit_by_bit(spark, tmp_path,
     assert whole.tell() < len(whole.getvalue()) / 2
 
 
+def test_tables_of_several_files_are_read_in_splits_if_their_columns_are_the_same(spark, tmp_path):
+    def made(name, texts):
+        (tmp_path / name).mkdir()
+        for k, text in enumerate(texts):
+            (tmp_path / name / f"{k}.csv").write_text(text)
+        return str(tmp_path / name)
+
+    engine = Engine(spark)
+    same = engine.query(made("same", ["a,b\n2,x\n1,y\n", "", "a , b\n1,z\n"]), "where nosuch!=1")
+    assert list(same.records()) == [{"a": 2, "b": "x"}, {"a": 1, "b": "y"}, {"a": 1, "b": "z"}] and "binaryFile" not in _plan(same.df)
+    bare = engine.query(made("bare", ["1,2\n", "3,4\n"]), "sum col2", header=False)
+    assert list(bare.records()) == [{"sum": 6.0}] and "binaryFile" not in _plan(bare.df)
+    other = engine.query(made("other", ["a,b\n1,x\n", "b,a\ny,2\n"]), "where nosuch!=1 select a b")
+    assert list(other.records()) == [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]
+    wide = engine.query(made("wide", ["1,2\n", "3,4,5\n"]), "count", header=False)
+    assert list(wide.records()) == [{"count": 2}]
+
+
 def test_rows_of_a_folder_are_in_the_order_of_its_files(spark, tmp_path):
     (tmp_path / "in.log").mkdir()
     for k, n in enumerate((1, 40, 5)):
