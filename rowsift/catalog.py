@@ -200,12 +200,13 @@ def _ranges(rows: DataFrame) -> DataFrame:
 
 
 def _written(spark: SparkSession, rows: DataFrame, line: Column, ending: str, head: str | None = None, packed: bool = False) -> str:
-    """One file of these lines, in order of event_id, with a first line if there is one; the path of its folder."""
+    """Files of these lines, in order of event_id, each with a first line if there is one; the path of their folder."""
     at = f"{_folder(spark)}.{ending}"
-    lines = rows.select(F.col("event_id").alias("n"), line.alias("value"))
+    lines = _ranges(rows).select(line.alias("value"))
     if head is not None:
-        lines = lines.unionByName(spark.createDataFrame([(-1, head)], "n long, value string"))
-    lines.repartition(1).sortWithinPartitions("n").select("value").write.option("compression", "gzip" if packed else "none").text(at)
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        lines = lines.select(F.when(first, F.concat(F.lit(f"{head}\n"), "value")).otherwise(F.col("value")).alias("value"))
+    lines.write.option("compression", "gzip" if packed else "none").text(at)
     return at
 
 

@@ -5,7 +5,9 @@ import gzip
 import io
 import json
 import random
+from pathlib import Path
 
+import duckdb
 import pytest
 
 from rowsift import catalog
@@ -14,6 +16,8 @@ from rowsift.errors import FormatError
 from rowsift.sources import readers
 from rowsift.sources.parse import json_documents
 
+from .test_oracle import canon
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -126,3 +130,36 @@ def test_rows_of_a_folder_of_parquet_files_are_in_the_order_of_its_files(spark,
     got = [(r["f"], r["i"]) for r in Engine(spark).query(readers.parquet(spark, *paths), "where f gte 0").records()]
     want = [(k, i) for k, n in enumerate((5, 400, 50)) for i in range(n)]
     assert got == want
+
+
+WRITING = [n for n in catalog.FORMATS if n.startswith(("src_", "stream_", "dyn_"))]
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {Path(p).stem} AS SELECT * FROM '{p}'")
+    return con
+
+
+@pytest.mark.parametrize("name", WRITING)
+def test_queries_that_write_give_the_rows_of_their_sql_over_several_files(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 300)
+    df = catalog.queries()[name](spark, SF)
+    got = canon(df.columns, [tuple(r) for r in df.collect()])
+    cur = duck.execute(catalog.oracle_sql()[name])
+    assert got == canon([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_files_are_bounded_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 100)
+    rows = catalog._events(spark, SF)
+    n = rows.count()
+    for packed, ending in ((False, ".txt"), (True, ".txt.gz")):
+        at = catalog._written(spark, rows, catalog._LINES["csv"](), "csv", catalog._HEADS["csv"], packed).removeprefix("file:")
+        files = sorted(glob.glob(f"{at}/part-*{ending}"))
+        texts = [(gzip.open if packed else open)(f, "rt").read().splitlines() for f in files]
+        assert len(files) == -(-n // 100) and all(t[0] == catalog._HEADS["csv"] and len(t) < 200 for t in texts)
+        assert [int(x.split(",")[0]) for t in texts for x in t[1:]] == sorted(r.event_id for r in rows.select("event_id").collect())
