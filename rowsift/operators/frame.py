@@ -22,7 +22,7 @@ class Frame:
     ``missing``: typed columns whose nulls stand for an absent field.  ``order``: the current order of the rows, as sort columns;
     empty until it is asked for.  ``position``: where a row stands in its files, to be read right above the scan.
     ``doc``: column of a dynamic frame with the whole record as one variant, while ``fields`` is as it was read; paths are read from it.
-    ``ready``: paths whose parts are columns already, by tag; they hold as long as ``doc`` does.
+    ``ready``: paths whose parts are columns already, by tag; they hold as long as ``doc`` does.  ``fixed``: ``_ord`` is a position.
     """
 
     df: DataFrame
@@ -33,6 +33,12 @@ class Frame:
     position: Column | None = None
     doc: str | None = None
     ready: dict[str, int] = field(default_factory=dict)
+    fixed: bool = False
+
+    @property
+    def placed(self) -> bool:
+        """Whether ``_ord`` is where a row stands in its files, and so the same whenever it is worked out."""
+        return self.fixed or dict(self.df.dtypes).get("_ord", "").startswith("struct<file:int,block:bigint,row:bigint")
 
     @property
     def names(self) -> list[str]:
@@ -46,7 +52,7 @@ class Frame:
         if self.order:
             return self
         df = self.df if "_ord" in self.df.columns else self.df.withColumn("_ord", F.monotonically_increasing_id() if self.position is None else self.position)
-        return replace(self, df=df, order=(F.col("_ord").asc(),), position=None)
+        return replace(self, df=df, order=(F.col("_ord").asc(),), position=None, fixed=self.fixed or self.position is not None)
 
     def made_ready(self, paths: list[str]) -> Frame:
         """The frame with the parts of the values at these paths as columns, each worked out once a row.

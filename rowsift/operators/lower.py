@@ -23,8 +23,13 @@ def lower(plan: N.Plan, frame: Frame, strict: bool = False) -> Frame:
     if needs_order(plan):
         frame = frame.ordered()
     frame = frame.made_ready(list(dict.fromkeys(p for node in plan.nodes for p in _named(node))))
-    for node in plan.nodes:
-        frame = _LOWER[type(node)](node, frame, plan, strict)
+    nodes = list(plan.nodes)
+    while nodes:
+        node = nodes.pop(0)
+        if isinstance(node, N.Skip) and nodes and isinstance(nodes[0], N.Limit):
+            frame = _slice(frame, node.n, nodes.pop(0).n)
+        else:
+            frame = _LOWER[type(node)](node, frame, plan, strict)
     return frame
 
 
@@ -299,9 +304,22 @@ def _limit(n: N.Limit, f: Frame, plan: N.Plan, strict: bool) -> Frame:
     return f.with_df(f.df.orderBy(*f.order).limit(n.n))
 
 
+def _slice(f: Frame, skipped: int, n: int) -> Frame:
+    """The n rows after those skipped: one sort that keeps so many rows a task, while an offset of its own takes all rows into one task."""
+    f = f.ordered()
+    return f.with_df(f.df.orderBy(*f.order).offset(skipped).limit(n))
+
+
+#: Rows skipped that are broadcast.
+SKIPPED = 100_000
+
+
 def _skip(n: N.Skip, f: Frame, plan: N.Plan, strict: bool) -> Frame:
     f = f.ordered()
-    return f.with_df(f.df.orderBy(*f.order).offset(n.n))
+    if not f.placed:
+        return f.with_df(f.df.orderBy(*f.order).offset(n.n))
+    gone = f.df.orderBy(*f.order).limit(n.n).select(F.col("_ord").alias("__gone"))
+    return f.with_df(f.df.join(F.broadcast(gone) if n.n <= SKIPPED else gone, F.col("_ord") == F.col("__gone"), "left_anti"))
 
 
 def _dedup(n: N.Dedup, f: Frame, plan: N.Plan, strict: bool) -> Frame:

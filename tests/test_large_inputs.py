@@ -130,6 +130,7 @@ def test_rows_of_a_folder_of_parquet_files_are_in_the_order_of_its_files(spark,
     got = [(r["f"], r["i"]) for r in Engine(spark).query(readers.parquet(spark, *paths), "where f gte 0").records()]
     want = [(k, i) for k, n in enumerate((5, 400, 50)) for i in range(n)]
     assert got == want
+    assert [(r["f"], r["i"]) for r in Engine(spark).query(readers.parquet(spark, *paths), "| skip(100)").records()] == want[100:]
 
 
 WRITING = [n for n in catalog.FORMATS if n.startswith(("src_", "stream_", "dyn_"))]
@@ -163,3 +164,18 @@ def test_files_are_bounded_in_rows(spark, monkeypatch):
         texts = [(gzip.open if packed else open)(f, "rt").read().splitlines() for f in files]
         assert len(files) == -(-n // 100) and all(t[0] == catalog._HEADS["csv"] and len(t) < 200 for t in texts)
         assert [int(x.split(",")[0]) for t in texts for x in t[1:]] == sorted(r.event_id for r in rows.select("event_id").collect())
+
+
+def test_rows_are_skipped_without_one_task_for_all(spark, tmp_path):
+    frame = lambda: readers.parquet(spark, f"{SF}/events.parquet")
+    ids = sorted(r.event_id for r in frame().df.select("event_id").collect())
+    both = Engine(spark).query(frame(), "| sort_by(.event_id desc) | skip(10) | limit(20)")
+    assert [r["event_id"] for r in both.records()] == ids[::-1][10:30]
+    assert "TakeOrderedAndProject" in _plan(both.frame.df) and "SinglePartition" not in _plan(both.frame.df)
+    rest = Engine(spark).query(frame(), "| sort_by(.event_type) | skip(10)")
+    every = list(Engine(spark).query(frame(), "| sort_by(.event_type)").records())
+    assert list(rest.records()) == every[10:]
+    assert "SinglePartition" not in _plan(rest.frame.df)
+    (tmp_path / "x.log").write_text("".join(f'{{"a":{i % 3}}}\n' for i in range(9)))
+    lines = Engine(spark).query(str(tmp_path / "x.log"), "| sort_by(.a) | skip(2) | to_upper(.b) | skip(2) | limit(3)")
+    assert list(lines.records()) == [{"a": 1}, {"a": 1}, {"a": 2}]
